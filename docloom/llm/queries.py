@@ -21,7 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    # markers around a text: <s> once; user 16, system 13, assistant 7 code points; each
+    # markers around a text: <s> once; user 15, system 13, assistant 7 code points; each
     # control string and backslash in a text gains one
     "op1_chat_format": r"""
         WITH said AS (
@@ -30,7 +30,7 @@ ORACLE_SQL = {
             UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
         sized AS (
             SELECT *, length(text) + len(regexp_extract_all(text, '\\|</?[sa]>|\[/?(?:INST|SYS|TURN|NONE)\b'))
-                + CASE role WHEN 'user' THEN 16 WHEN 'system' THEN 13 WHEN 'assistant' THEN 7 END AS shown
+                + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 7 END AS shown
             FROM said)
         SELECT conv_id, count(*)::BIGINT AS n_turns,
             sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
