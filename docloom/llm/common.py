@@ -7,7 +7,9 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[object, str]] = []
@@ -81,12 +83,21 @@ def texts(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
-def slices(batches, rows: int = 512):
-    """The record batches cut into pieces of at most ``rows`` rows, so that what a
-    worker holds as Python objects stays small."""
+def slices(batches, rows: int = 512, size: int = 8 << 20):
+    """The record batches cut into pieces of at most ``rows`` rows, and of at most about
+    ``size`` bytes of strings or one row, so that what a worker holds as Python objects
+    stays small."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        strings = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+        total = np.zeros(batch.num_rows, np.int64)
+        for c in strings:
+            total += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total, at = np.cumsum(total), 0
+        while at < batch.num_rows:
+            fit = int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right"))
+            stop = min(batch.num_rows, at + rows, max(fit, at + 1))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def batch_of(schema: pa.Schema, columns: list) -> pa.RecordBatch:

@@ -24,6 +24,8 @@ from .common import batch_of, create, filesystem, scratch, slices, stored, texts
 REVISIT_BYTES = 1000
 #: Ranges closer than this are read together, up to so many bytes at once.
 GAP, READ = 64 << 10, 8 << 20
+#: Compressed bytes that a reading task is meant for.
+TASK_BYTES = 8 << 20
 #: Archive files are closed beyond this size.
 FILE_BYTES = 1 << 30
 INDEX = "page_id long, url string, digest string, record_type string, file string, offset long, length long"
@@ -157,8 +159,10 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
         if file:
             file.close()
 
-    block = F.floor(F.col("offset") / F.lit(64 << 20))
-    places = index.select("file", "offset", "length").repartition("file", block).sortWithinPartitions("file", "offset")
+    # the index is small beside what it points to: tasks are counted by the archives' bytes
+    tasks = int((index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES) + 1
+    block = F.floor(F.col("offset") / F.lit(TASK_BYTES))
+    places = index.select("file", "offset", "length").repartition(tasks, "file", block).sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, RECORD)
 
 
