@@ -100,31 +100,31 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(F.size(known) == 0, F.lit(1.0)).otherwise(F.aggregate(known, F.lit(0), lambda s, x: s + x) / F.size(known))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (doc_id, text and others) with next_<column> of the next row in ascending
-    (doc_id, text), nulls first; the first row's after the last.
+def with_next(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with next_text: that of the next row in ascending (doc_id,
+    text), nulls first; after the last row comes the first.
 
-    Rows are dealt by ranges of doc_id of about ``RANGE_ROWS`` rows and put in order in
-    their range; the first row of each range is then given to the last row before it.
+    Rows are dealt once, by ranges of doc_id of about ``RANGE_ROWS`` rows, and put in
+    order in their range; the first row of each range is then given to the last row of
+    the range before.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
     if low is None:
         low = high = 0
     width = max(1, (high - low + 1) * RANGE_ROWS // max(n, 1))
     ranges = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    dealt = docs.withColumn("range", ranges)
-    heads = dealt.select("range", "doc_id").groupBy("range").agg(F.min("doc_id").alias("head"))
+    dealt = docs.select("doc_id", "text", ranges.alias("range")).repartition("range")
+    heads = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("head"))
     # one narrow row per range, in one order
-    around = Window.orderBy("range")
-    wrap = heads.agg(F.max("range").alias("top")).scalar()
-    before = heads.select(F.coalesce(F.lag("range").over(around), wrap).alias("before"), F.col("range").alias("its"), "head")
-    own = dealt.join(before.select("before", "its", "head"), (F.col("range") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    first = own.groupBy("before").agg(F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("first"))
+    around = Window.orderBy("its")
+    its = docs.select(ranges.alias("its")).distinct()
+    wrap = its.agg(F.max("its").alias("top")).scalar()
+    before = its.select("its", F.coalesce(F.lag("its").over(around), wrap).alias("before"))
+    first = heads.join(before, F.col("range") == F.col("its")).select("before", F.col("head.text").alias("first"))
     order = Window.partitionBy("range").orderBy("doc_id", "text")
-    ahead = dealt.withColumn("ahead", F.lead(F.struct(*columns)).over(order))
-    joined = ahead.join(first, ahead["range"] == first["before"], "left")
-    taken = [F.when(F.col("ahead").isNotNull(), F.col(f"ahead.{c}")).otherwise(F.col(f"first.{c}")).alias(f"next_{c}") for c in columns]
-    return joined.select(*docs.columns, *taken)
+    ahead = dealt.withColumn("ahead", F.lead("text").over(order))
+    joined = ahead.join(first, F.col("range") == F.col("before"), "left")
+    return joined.select("doc_id", "text", F.coalesce("ahead", "first").alias("next_text"))
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -146,9 +146,9 @@ def imatch(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     words = stored(lexicon(docs), "lexicon")
     table = look_up(words)
-    whole = with_next(docs.withColumn("marks", fingerprint(F.col("text"), table)), ["text", "marks"])
     other = edited(F.col("text"), F.col("next_text"))
-    return whole.select("doc_id", F.length("text").cast("long").alias("n_chars"), "marks", F.sha2(other.cast("binary"), 256).alias("edited_sha256"), fingerprint(other, table).alias("edited_marks"), "next_marks")
+    marks = [fingerprint(x, table).alias(f) for f, x in (("marks", F.col("text")), ("edited_marks", other), ("next_marks", F.col("next_text")))]
+    return with_next(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(other.cast("binary"), 256).alias("edited_sha256"), *marks)
 
 
 def op5_imatch(spark, sf_dir: str) -> DataFrame:
