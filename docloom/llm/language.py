@@ -8,8 +8,6 @@ the profile's length where the language lacks the n-gram.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -20,77 +18,64 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import batch_of, slices, texts
 
-TOP, ORDERS = 300, (1, 2, 3)
+TOP = 300
 #: Labelled documents that a language's profile is learned from (expected number; all if
 #: there are fewer).  They are chosen by a hash of doc_id.
 LEARN = 3000
-#: Words and n-grams that a worker remembers; beyond, it forgets and starts again.
-MEMO_WORDS, MEMO_GRAMS = 300_000, 200_000
 UNKNOWN = "und"
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Alphabets beyond this size are counted by sorting instead of by a table.
+ALPHABET = 96
 _counts = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
-
-
-def gram_code(gram: str) -> int:
-    """An n-gram as a number: 21 bits a character."""
-    code = 0
-    for c in gram:
-        code = code << 21 | ord(c)
-    return code
-
-
-class Profiler:
-    """The n-grams of texts.  Numbers of n-grams are private to a profiler; ties are
-    broken by their codes, which are not."""
-
-    def __init__(self):
-        self.forget()
-
-    def forget(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.grams: dict[int, int] = {}
-        self.codes = np.empty(0, np.int64)
-        self.era = getattr(self, "era", 0) + 1
-
-    def _word(self, word: str) -> np.ndarray:
-        out = []
-        for run in _LETTERS.findall(word):
-            padded = f" {run} "
-            for n in ORDERS:
-                out += [padded[i : i + n] for i in range(len(padded) - n + 1)]
-        grams = [self.grams.setdefault(gram_code(g), len(self.grams)) for g in out if g != " "]
-        own = self.words[word] = np.array(grams, np.int64)
-        return own
-
-    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(n-gram codes, counts) of a text."""
-        if len(self.words) > MEMO_WORDS or len(self.grams) > MEMO_GRAMS:
-            self.forget()
-        found = Counter(text.lower().split())
-        known = self.words
-        rows = [known[w] if w in known else self._word(w) for w in found]
-        if not rows:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(self.codes) < len(self.grams):
-            self.codes = np.fromiter(self.grams, np.int64, len(self.grams))
-        weights = np.repeat(np.fromiter(found.values(), np.int64, len(rows)), [len(x) for x in rows])
-        n = np.bincount(np.concatenate(rows), weights, minlength=1).astype(np.int64)
-        at = np.flatnonzero(n)
-        return self.codes[at], n[at]
-
-    def profile(self, text: str) -> np.ndarray:
-        """The codes of the most frequent n-grams, in order; ties by code."""
-        codes, n = self.counts(text)
-        return codes[np.lexsort((codes, -n))[:TOP]]
-
-
-_profiler: list[Profiler] = []
-
-
-def profiler() -> Profiler:
-    if not _profiler:
-        _profiler.append(Profiler())
-    return _profiler[0]
+_letters: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    if not _letters:
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _letters[0]
+
+
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of the n-grams of 1 to 3 characters of a text: lower case, runs of
+    what isn't a letter are one blank, words have a blank on either side, and no n-gram
+    spans two words.  A code has 21 bits a character."""
+    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le"), np.uint32)
+    points = np.where(_is_letter()[points], points, np.uint32(32))
+    blank = points == 32
+    points = points[~(blank & np.r_[False, blank[:-1]])]
+    if len(points) < 2:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    alphabet = np.flatnonzero(seen)  # the blank, 32, comes first: no letter is below it
+    number = np.empty(len(seen), np.int64)
+    number[alphabet] = np.arange(len(alphabet))
+    own, k = number[points], len(alphabet)
+    pairs = own[:-1] * k + own[1:]
+    triples = pairs[:-1] * k + own[2:]
+    codes, counts = [], []
+    for size, values in ((1, own), (2, pairs), (3, triples)):
+        if k <= ALPHABET:
+            n = np.bincount(values)
+            at = np.flatnonzero(n)
+            n = n[at]
+        else:
+            at, n = np.unique(values, return_counts=True)
+        # not the blank alone, and no blank between two letters
+        good = at > 0 if size == 1 else np.ones(len(at), bool) if size == 2 else at // k % k > 0
+        at, n = at[good], n[good]
+        code = np.zeros(len(at), np.int64)
+        for place in reversed(range(size)):
+            code = code << 21 | alphabet[at // k**place % k]
+        codes.append(code)
+        counts.append(n)
+    return np.concatenate(codes), np.concatenate(counts)
+
+
+def profile(text: str) -> np.ndarray:
+    """The codes of the most frequent n-grams, in order; ties by code."""
+    codes, n = grams(text)
+    return codes[np.lexsort((codes, -n))[:TOP]]
 
 
 class Model:
@@ -108,7 +93,7 @@ class Model:
         """(language, score): the score is one less the ratio of the least distance to the
         largest possible one.  Equal distances go to the first name.  No letters, or
         nothing learned: ``und`` with 0."""
-        own = profiler().profile(text) if text else ()
+        own = profile(text) if text else ()
         if not len(own) or not self.names:
             return UNKNOWN, 0.0
         at = np.searchsorted(self.codes, own)
@@ -143,17 +128,17 @@ def learn(docs: DataFrame, per_language: int = LEARN) -> Model:
         sums: dict[str, Counter] = {}
         for batch in slices(batches):
             for text, lang in zip(texts(batch.column("text")), batch.column("lang").to_pylist()):
-                codes, n = profiler().counts(text)
+                codes, n = grams(text)
                 own = sums.setdefault(lang, Counter())
                 for c, k in zip(codes.tolist(), n.tolist()):
                     own[c] += k
         for lang, own in sums.items():
             yield batch_of(_counts, [[lang] * len(own), list(own), list(own.values())])
 
-    grams = chosen.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = chosen.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     profiles: dict[str, list[int]] = {}
-    for x in grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).orderBy("lang", "rank").collect():  # TOP rows per language
+    for x in found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP).orderBy("lang", "rank").collect():  # TOP rows per language
         profiles.setdefault(x.lang, []).append(x.gram)
     return Model(profiles)
 
