@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-MEMO = 300_000
+MEMO = 500_000
 #: Most words of a corpus occur once: a piece is remembered when it, or another one with
 #: the same place among so many, has come before.
 SEEN = (1 << 23) - 1
