@@ -282,14 +282,14 @@ ORACLE_SQL = {
         trimmed AS (SELECT doc_id, pos, regexp_replace(question, '^[\\s\\v\\x1c-\\x1f]+|[\\s\\v\\x1c-\\x1f]+$', '', 'g') AS question FROM firsts WHERE r = 1)
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos, question FROM trimmed WHERE (doc_id, question) IN (SELECT doc_id, question FROM qs)""",
     "cascade_summary": f"""WITH {_CASCADE},
-        at AS (
+        per AS (
             SELECT 0 AS stage, (SELECT count(*) FROM qa) AS n_rows, (SELECT count(*) FROM qs) AS n_questions
             UNION ALL SELECT 1, (SELECT count(*) FROM s1), (SELECT count(*) FROM qs JOIN s1 USING (doc_id))
             UNION ALL SELECT 2, (SELECT count(DISTINCT doc_id) FROM q2), (SELECT count(*) FROM q2)
             UNION ALL SELECT 3, (SELECT count(DISTINCT doc_id) FROM q3), (SELECT count(*) FROM q3))
         SELECT stage, n_rows, coalesce(lag(n_rows) OVER w - n_rows, 0)::BIGINT AS removed_rows, n_questions, coalesce(lag(n_questions) OVER w - n_questions, 0)::BIGINT AS removed_questions,
             round(n_rows * 100.0::DOUBLE / nullif(first(n_rows) OVER w, 0), 6) AS percent
-        FROM at WINDOW w AS (ORDER BY stage)""",
+        FROM per WINDOW w AS (ORDER BY stage)""",
     "cascade_final": f"WITH {_CASCADE} SELECT doc_id, pos::INT AS pos, question FROM q3",
     "cascade_final_answers": f"WITH {_CASCADE}, {_AFTER_2} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos, answer FROM q3 JOIN known2 USING (doc_id, question)",
     "fewshot_pick": f"WITH {_QA} SELECT doc_id, attempt::INT AS attempt, ((doc_id * 4 + attempt) % 3)::INT AS example, length(CASE WHEN attempt % 2 = 0 THEN ocr ELSE text END)::INT AS source_chars FROM qa, range(4) AS t(attempt)",
