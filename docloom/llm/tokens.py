@@ -10,7 +10,6 @@ once it is full, further pieces go to the library in each batch.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
 
@@ -20,8 +19,9 @@ MEMO = 500_000
 SEEN = (1 << 23) - 1
 #: Pieces that are encoded as one text; their ids are told apart by the leading space.
 TOGETHER = 2000
-#: White space other than single spaces and line breaks.
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: What makes cutting at spaces unsafe: runs of white space that hold a space, and white
+#: space other than spaces and line breaks.
+_UNSAFE = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
 
 def default_path() -> str:
@@ -63,7 +63,7 @@ class Encoder:
         """The ids of each text, the end id included."""
         memo, cut, whole, wanted = self.memo, {}, [], set()
         for i, text in enumerate(texts):
-            if not self.cuttable or text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or _OTHER_SPACE.search(text):
+            if not self.cuttable or text[:1] == " " or text[-1:] == " " or any(x in text for x in _UNSAFE):
                 whole.append(i)
             else:
                 cut[i] = text.split(" ")
