@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.base import FilterStage, tagged
 from ..operators.filters import DedupQuestions, Language, NGramOverlap, TextLength
-from ..sources.datasets import write_dataset
+from ..sources.datasets import read_dataset, write_dataset
 from . import report
 
 log = logging.getLogger(__name__)
@@ -62,8 +62,9 @@ class Cascade:
         rows.append((0, "Original", before.n_rows, 0, before.n_questions, 0, 100.0 if before.n_rows else None, 0.0))
         for k, stage in enumerate(self.stages, 1):
             began, path = time.monotonic(), f"{self.output}/stages/{k}"
-            write_dataset(stage.annotate(df), path)
-            annotated = spark.read.parquet(path)
+            df = stage.annotate(df)
+            write_dataset(df, path)
+            annotated = read_dataset(spark, path, df.schema)
             kept, gone = annotated.where(~F.col("removed")), annotated.where("removed")
             after = report.counts(kept).first()
             mismatches = report.length_mismatches(kept).count()
@@ -87,4 +88,4 @@ class Cascade:
         write_dataset(final, f"{self.output}/final_dataset")
         told = spark.createDataFrame(rows, "stage int, label string, n_rows long, removed_rows long, n_questions long, removed_questions long, percent double, s_per_1000 double")
         told.write.mode("overwrite").parquet(f"{self.output}/summary")
-        return spark.read.parquet(f"{self.output}/final_dataset"), told
+        return read_dataset(spark, f"{self.output}/final_dataset", final.schema), told
