@@ -118,16 +118,16 @@ class Reader:
 
     def documents(self):
         """(doc_id, position, ids as bytes) in order; holds a chunk and one document."""
-        rest, k, at = b"", 0, 0
-        for doc, n in zip(self.docs, self.lengths):
-            parts, have = [rest], len(rest)
-            while have < 4 * n:
-                parts.append(self.chunk(k))
-                have += len(parts[-1])
-                k += 1
-            data = b"".join(parts)
-            yield doc, at, data[: 4 * n]
-            rest, at = data[4 * n :], at + int(n)
+        data, place, k, at = b"", 0, 0, 0
+        for doc, n in zip(self.docs, self.lengths.tolist()):
+            if len(data) - place < 4 * n:
+                parts, have = [data[place:]], len(data) - place
+                while have < 4 * n:
+                    parts.append(self.chunk(k))
+                    have, k = have + len(parts[-1]), k + 1
+                data, place = b"".join(parts), 0
+            yield doc, at, data[place : place + 4 * n]
+            place, at = place + 4 * n, at + n
 
     def close(self) -> None:
         self.file.close()
