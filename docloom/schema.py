@@ -11,14 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COUNTED = ("train", "test", "val")
+#: What a task reads of a large table, by Spark's default.
+SPLIT_BYTES = 128 << 20
 STRINGS = T.ArrayType(T.StringType())
 GENERATION_INPUT = T.StructType().add("doc_id", "long").add("dataset_split", "string").add("image", "binary").add("text", "string").add("ocr", "string")
 QA = T.StructType([*GENERATION_INPUT, T.StructField("questions", STRINGS), T.StructField("answers", STRINGS)])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table so small that its files hold fewer splits than there are cores, dealt to all
+    cores; any larger table stays as it is read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * SPLIT_BYTES else df
+
+
 def qa_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question-answer documents derived from ``documents`` and ``conversations``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     said = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("conv_id").between(0, 19))
 
     def turns(role: str):
