@@ -1,27 +1,40 @@
 """Token ids of whole texts by a ``tokenizers`` file, with a bounded memo of words.
 
-A byte-level BPE pre-tokenizer never joins a space to the non-space character before
-it, so cutting before every single space that stands between two non-space characters
-leaves the ids unchanged.  Pieces are encoded once per worker and remembered up to ``MEMO`` entries;
-texts with other white space around spaces are encoded whole.  The memo only saves time:
-once it is full, further pieces go to the library in each batch.
+The regular expression of a byte-level BPE pre-tokenizer never joins
+
+* a space to the character before it, if non-space characters stand on both sides,
+* a line break to what is around it, if it is single, or double before other text,
+* a letter or digit to a run of marks after it that ends the word.
+
+So texts are cut there, each distinct word of a batch is looked up once, and only new words
+go to the library, many in one call.  Texts with other white space, and texts that hold the
+string of an added token, are encoded whole.  The memo only saves time: once it is full,
+further words go to the library in each batch.
 """
 
 from __future__ import annotations
 
 import os
+import string
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MEMO = 500_000
-#: Most words of a corpus occur once: a piece is remembered when it, or another one with
+#: Most words of a corpus occur once: a word is remembered when it, or another one with
 #: the same place among so many, has come before.
 SEEN = (1 << 23) - 1
-#: Pieces that are encoded as one text; their ids are told apart by the leading space.
+#: Words that are encoded as one text; their ids are told apart by what stands between.
 TOGETHER = 2000
-#: What makes cutting at spaces unsafe: runs of white space that hold a space, and white
-#: space other than spaces and line breaks.
-_UNSAFE = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+#: Characters of text that are cut into words at once.
+PART_CHARS = 4 << 20
+#: What makes cutting unsafe: runs of white space that hold a space or three line breaks,
+#: and white space other than spaces and line breaks.
+_UNSAFE = ("  ", " \n", "\n ", "\n\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+#: A word with this sign before it has no space before it in the text.
+_BARE = "\r"
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum())
 
 
 def default_path() -> str:
@@ -38,48 +51,99 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cuttable = "ByteLevel(add_prefix_space=False" in str(self.library.pre_tokenizer) and "use_regex=True" in str(self.library.pre_tokenizer) and self.library.normalizer is None
-        self.end = np.array([end_id], "<u4").tobytes()
         words = self.library.get_vocab(with_added_tokens=True)
+        self.line = words.get("Ċ")  # the byte-level sign for a line break
+        self.cuttable = "ByteLevel(add_prefix_space=False" in str(self.library.pre_tokenizer) and "use_regex=True" in str(self.library.pre_tokenizer) and self.library.normalizer is None and self.line is not None
+        self.unsafe = (*_UNSAFE, *(x.content for x in self.library.get_added_tokens_decoder().values()))
+        self.end = np.array([end_id], "<u4").tobytes()
         self.opens = np.zeros(max(words.values(), default=0) + 1, bool)
-        self.opens[[i for x, i in words.items() if x.startswith("\u0120")]] = True  # the byte-level sign for a space
+        self.opens[[i for x, i in words.items() if x.startswith("Ġ")]] = True  # the sign for a space
         self.memo: dict[str, bytes] = {}
         self.seen = bytearray(SEEN + 1)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _after_space(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece with a space before it."""
+    def _together(self, words: list[str], spaced: bool) -> list[bytes]:
+        """The ids of each word, with a space before it or bare."""
         out = []
-        for k in range(0, len(pieces), TOGETHER):
-            part = pieces[k : k + TOGETHER]
-            data = self._encode([" " + " ".join(part)])[0]
-            at = (np.flatnonzero(self.opens[np.frombuffer(data, "<u4")]) * 4).tolist() + [len(data)]
-            out += [data[i:j] for i, j in zip(at, at[1:])] if len(at) == len(part) + 1 and not at[0] else self._encode([" " + x for x in part])
+        for k in range(0, len(words), TOGETHER):
+            part = words[k : k + TOGETHER]
+            data = self._encode([" " + " ".join(part) if spaced else "\n".join(part)])[0]
+            ids = np.frombuffer(data, "<u4")
+            at = np.flatnonzero(self.opens[ids] if spaced else ids == self.line) * 4
+            left, right = (at.tolist(), at.tolist()[1:]) if spaced else ([0, *(at + 4).tolist()], at.tolist())
+            right.append(len(data))
+            whole = len(left) == len(part) and not left[0]
+            out += [data[i:j] for i, j in zip(left, right)] if whole else self._encode([" " + x for x in part] if spaced else part)
         return out
 
+    def _values(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words: a word follows a space, ``_BARE`` and a word nothing,
+        and a line break and a word stand for themselves."""
+        memo, seen = self.memo, self.seen
+        out = list(map(memo.get, words))
+        missing = [at for at, ids in enumerate(out) if ids is None]
+        cores, ends = [], []
+        for at in missing:
+            word = words[at]
+            core = word.rstrip(string.punctuation)
+            if core == word or core[-1:] not in _LETTERS:
+                core, end = word, ""
+            else:
+                end = _BARE + word[len(core) :]
+            cores.append(_BARE + core[1:] if core[:1] == "\n" else core)
+            ends.append(end)
+        new = {_BARE: b"", "": b""}
+        wanted = {*cores, *ends} - new.keys()
+        for x in wanted & memo.keys():
+            new[x] = memo[x]
+        wanted -= new.keys()
+        spaced, bare = [x for x in wanted if x[0] != _BARE], [x for x in wanted if x[0] == _BARE]
+        new.update(zip(spaced, self._together(spaced, True)))
+        new.update(zip(bare, self._together([x[1:] for x in bare], False)))
+        line = np.array([self.line], "<u4").tobytes()
+        for at, core, end in zip(missing, cores, ends):
+            ids = new[core] + new[end] if end else new[core]
+            out[at] = line + ids if words[at][:1] == "\n" else ids
+        for x in wanted:
+            if len(memo) >= MEMO:
+                break
+            k = hash(x) & SEEN
+            if seen[k] or len(memo) < MEMO // 2:
+                memo[x] = new[x]
+            seen[k] = 1
+        return out
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that may be cut."""
+        lists = pc.split_pattern(pa.array([_BARE + x.replace("\n", " \n") for x in texts], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        values, which = self._values(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        ids = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) >> 2
+        first, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        stops = np.cumsum(n)
+        ids = ids[np.repeat((first - (stops - n)).astype(np.int32), n) + np.arange(len(n) and stops[-1], dtype=np.int32)]
+        ends = np.r_[0, stops][lists.offsets.to_numpy()] * 4
+        data = ids.tobytes()
+        return [data[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, the end id included."""
-        memo, cut, whole, wanted = self.memo, {}, [], set()
+        cut, whole, out, size = [], [], {}, 0
         for i, text in enumerate(texts):
-            if not self.cuttable or text[:1] == " " or text[-1:] == " " or any(x in text for x in _UNSAFE):
+            if not self.cuttable or text[:1] == " " or text[-1:] == " " or text[-2:] == "\n\n" or any(x in text for x in self.unsafe):
                 whole.append(i)
-            else:
-                cut[i] = text.split(" ")
-                wanted.update(cut[i][1:])
-        wanted = list(wanted - memo.keys())
-        memo.update(zip(wanted, self._after_space(wanted)))
-        heads = dict(zip(cut, self._encode([x[0] for x in cut.values()])))
-        out = dict(zip(whole, self._encode([texts[i] for i in whole])))
-        for i, pieces in cut.items():
-            out[i] = heads[i] + b"".join(map(memo.__getitem__, pieces[1:]))
-        seen = self.seen
-        for x in wanted:
-            k = hash(x) & SEEN
-            if not seen[k] or len(memo) > MEMO:
-                seen[k] = 1
-                del memo[x]
+                continue
+            cut.append(i)
+            size += len(text)
+            if size >= PART_CHARS:
+                out.update(zip(cut, self._cut([texts[k] for k in cut])))
+                cut, size = [], 0
+        if cut:
+            out.update(zip(cut, self._cut([texts[k] for k in cut])))
+        out.update(zip(whole, self._encode([texts[k] for k in whole])))
         return [out[i] + self.end for i in range(len(texts))]
 
 

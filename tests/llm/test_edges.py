@@ -92,6 +92,22 @@ def test_encoder():
     assert own(odd) == want and own(odd) == want
 
 
+def test_encoder_cuts_where_the_library_does(monkeypatch):
+    """Ids of random texts of letters, marks and white space, also when the memo is full."""
+    import random
+
+    own, dealt = tokens.Encoder(tokens.default_path()), random.Random(7)
+    signs = ["a", "b", "\u00e9", "1", "\u00b2", " ", " ", "\n", ",", ".", "'", "s", "t", "-", "\u0301", "\u65e5", "\u00bb", "\t", "<|endoftext|>", "\r"]
+    odd = ["", "\n", "\n\n", "\n\na", "a\n", "a\n\n", "a\n\n\nb", "don't, don't' x", "'s 's,\n'll", "<|endoftext|>, z"]
+    odd += ["".join(dealt.choices(signs, k=dealt.randint(0, 14))) for _ in range(5000)]
+    want = [np.array([*x.ids, 2], "<u4").tobytes() for x in own.library.encode_batch(odd, add_special_tokens=False)]
+    assert own(odd) == want and own(odd) == want
+    monkeypatch.setattr(tokens, "MEMO", 100)
+    monkeypatch.setattr(tokens, "PART_CHARS", 50)
+    small = tokens.Encoder(tokens.default_path())
+    assert small(odd) == want and small(odd) == want and len(small.memo) <= 100
+
+
 def test_language(docs, none):
     model = language.learn(docs)
     found = [(r.doc_id, r.lang_pred) for r in language.classify(docs, model).collect()]
