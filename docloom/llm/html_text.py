@@ -148,6 +148,7 @@ def main_text(html: str) -> str:
                     articles[n] = articles.get(n, False) or bool(good)
                     break
     chosen = {n for n, good in articles.items() if good}
+    alone: set[int] = set()
     if not chosen:
         held: dict[int, float] = {}
         for line, size, good in zip(lines, sizes, content):
@@ -157,7 +158,15 @@ def main_text(html: str) -> str:
         most = sizes[content].sum()
         deep = max((n for n, size in held.items() if size >= 0.7 * most), default=0)
         chosen = {deep}
-    return " ".join(x[0] for x in lines if x[3] and (0 in chosen or any(n in chosen for _, n in x[2])))
+        # content outside: the sibling of the region or of what holds it, or the line alone
+        inside = [any(n == deep for _, n in line[2]) for line in lines]
+        above = {n for line, own in zip(lines, inside) if own for _, n in line[2] if n < deep}
+        for line, own, good in zip(lines, inside, content):
+            if good and deep and not own:
+                beside = [n for _, n in line[2] if n not in above]
+                chosen.update([min(beside)] if beside else [])
+                alone.add(id(line))
+    return " ".join(x[0] for x in lines if x[3] and (0 in chosen or id(x) in alone or any(n in chosen for _, n in x[2])))
 
 
 def extract(pages: DataFrame) -> DataFrame:
