@@ -33,8 +33,9 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
-    return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of eight words of a benchmark item, without the words
+    of shorter items."""
+    return decontamination.decontaminate(docs, common.table(spark, sf_dir, "benchmark"), short=False)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,8 +143,9 @@ def _block(uri: str) -> Block:
         return pickle.load(io.BytesIO(file.read()))
 
 
-def scan_texts(data: list[str | None], blocks: list[str]) -> list[tuple[int, int, list[str], list[dict]]]:
-    """(words, hit words, item names as sorted strings, hit spans in words) of each text."""
+def scan_texts(data: list[str | None], blocks: list[str], short: bool = True) -> list[tuple[int, int, list[str], list[dict]]]:
+    """(words, hit words, item names as sorted strings, hit spans in words) of each text.
+    Without ``short``, items of fewer than ``WINDOW`` words mark words but aren't named."""
     words = [words_of(x) for x in data]
     sizes = np.array([len(x) for x in words], np.int64)
     starts = np.r_[0, np.cumsum(sizes + 1)]  # a stop between documents: no window spans two
@@ -157,6 +158,8 @@ def scan_texts(data: list[str | None], blocks: list[str]) -> list[tuple[int, int
         for at, size, k, t in block.find(ids):
             np.add.at(cover, at, 1)
             np.add.at(cover, at + size, -1)
+            if size < WINDOW and not short:
+                continue
             seen = np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, k], 1), axis=0)
             for doc, window in seen.tolist():
                 names[doc].update(block.names[i] for i in t["items"][t["first"][window] : t["first"][window + 1]])
@@ -202,17 +205,18 @@ def cut_words(text: str, spans: list[dict]) -> str:
 _UPPER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 0) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 0, short: bool = True) -> DataFrame:
     """``docs`` (with doc_id, text and any other columns) without the documents that hold
     windows of more than ``most_items`` items; from the others, hit words are cut and
     n_chars, if there is such a column, is set anew.  Texts without hits stay as they are.
+    Without ``short``, items of fewer than ``WINDOW`` words count for no document: they are cut.
     """
     blocks, schema = build_index(benchmark), docs.schema
     names = docs.columns
 
     def run(batches):
         for batch in slices(batches):
-            found = scan_texts(batch.column(names.index("text")).to_pylist(), blocks)
+            found = scan_texts(batch.column(names.index("text")).to_pylist(), blocks, short)
             keep = [len(x[2]) <= most_items for x in found]
             columns = dict(zip(names, batch.columns))
             if any(x[3] and k for x, k in zip(found, keep)):
