@@ -1,17 +1,19 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's streaming parser gives events; block tags cut the text into lines.
-Each line has a ratio of characters to tags; the ratios are smoothed by a Gaussian along
-the page and clustered by the threshold of their standard deviation.  The clusters select
-the content region: an article, or else the deepest container that holds most of them.
-All lines of the region count, short ones too, but for elements that say by their name or
-class that they are something else.
+Each line has a ratio of characters to tags; lines of elements that are never content
+(menus, forms, adverts by their class, ...) have ratio 0.  The ratios are smoothed by a
+Gaussian along the page and parted into two clusters at their standard deviation.  The
+upper cluster selects the region: sections that hold a line of it, with all their lines,
+and what lies between two such lines.  Tags like ``article`` only break a tie: where the
+cluster has lines in and out of articles, the side with more characters stays.
 """
 
 from __future__ import annotations
 
 import re
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,10 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay sidebar sidenav rail menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead header topbar toolbar comment comments commentlist respond reply replies disqus discussion share sharing social related recommended newsletter subscribe subscription signup widget complementary contentinfo search login".split()
 )
 HEADERS = frozenset(["header", "masthead", "banner"])
+#: Elements that part a page; a line belongs to the innermost one.
+SECTIONS = frozenset("html body div section article main center td".split())
+#: Elements of short lines that belong to the section around them, unless they are links.
+LISTS = frozenset("ul ol dl table".split())
 SIGMA = 1.0
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _texts = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -44,23 +50,35 @@ def _hinted(value: str) -> frozenset:
     return _hints[value]
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    path: tuple[int, ...]  # numbers of the sections around it, the innermost last
+    lists: bool  # in a list or table of its section
+    article: bool
+    alive: bool  # not in an element that is never content
+    linked: int  # characters in links
+
+
 class Lines(HTMLParser):
-    """The lines of a page: text, tags, containers (innermost last), whether it counts."""
+    """The lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, not content, container number
-        self.dead, self.articles, self.numbers = 0, 0, 0
-        self.lines: list[tuple[str, int, tuple[tuple[str, int], ...], bool]] = []
+        self.open: list[tuple[str, bool, int]] = []  # tag, never content, section number
+        self.dead, self.articles, self.numbers, self.links = 0, 0, 0, 0
+        self.lines: list[Line] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags, self.linked = 0, 0
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            path = tuple((tag, n) for tag, _, n in self.open if n)
-            self.lines.append((text, self.tags, path, not self.dead))
+            last = max((k for k, x in enumerate(self.open) if x[2]), default=-1)
+            lists = any(x[0] in LISTS for x in self.open[last + 1 :])
+            self.lines.append(Line(text, self.tags, tuple(n for _, _, n in self.open if n), lists, self.articles > 0, not self.dead, self.linked))
             self.tags = 0
+        self.linked = 0
         self.parts.clear()
 
     def handle_starttag(self, tag, attrs):
@@ -80,12 +98,13 @@ class Lines(HTMLParser):
                 bad |= bool(found)
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", ""):
                 hidden = True
+        bad |= hidden
         if tag in ("article", "main") and not bad:
             self.articles += 1
-        bad |= hidden
-        if block and tag != "p":
+        self.links += tag == "a"
+        if tag in SECTIONS:
             self.numbers += 1
-        self.open.append((tag, bad, self.numbers if block and tag != "p" else 0))
+        self.open.append((tag, bad, self.numbers if tag in SECTIONS else 0))
         self.dead += bad
 
     def handle_startendtag(self, tag, attrs):
@@ -97,10 +116,10 @@ class Lines(HTMLParser):
         self.tags += 1
         block = tag not in INLINE
         for k in range(len(self.open) - 1, -1, -1):
-            name, _, number = self.open[k]
+            name = self.open[k][0]
             if name == tag:
                 break
-            if number and (not block or tag == "p"):
+            if name not in INLINE and name != "p" and (not block or tag == "p"):
                 return  # an inline tag or paragraph doesn't close a container
         else:
             if block:
@@ -110,14 +129,17 @@ class Lines(HTMLParser):
             self._flush()
         for name, bad, _ in self.open[k:]:
             self.dead -= bad
+            self.links -= name == "a"
             if name in ("article", "main") and not bad:
                 self.articles -= 1
         del self.open[k:]
 
     def handle_data(self, data):
         self.parts.append(data)
+        if self.links:
+            self.linked += len(data.strip())
 
-    def finish(self) -> list:
+    def finish(self) -> list[Line]:
         self.close()
         self._flush()
         return self.lines
@@ -129,44 +151,45 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return np.convolve(ratios, _KERNEL)[3:-3] / one
 
 
+def clusters(lines: list[Line]) -> np.ndarray:
+    """Which lines are in the upper cluster."""
+    score = smoothed(np.array([len(x.text) / max(x.tags, 1) if x.alive else 0.0 for x in lines]))
+    return (score >= score.std()) & np.array([x.alive for x in lines], bool)
+
+
+def region(lines: list[Line], content: np.ndarray) -> np.ndarray:
+    """Which lines the main text has, from the lines of the upper cluster."""
+    size = np.array([len(x.text) for x in lines])
+    within = np.array([x.article for x in lines], bool)
+    if (content & within).any():  # a tie between articles and the rest of the page
+        content = content & (within == (size[content & within].sum() >= size[content & ~within].sum()))
+    own = [x.path[-1] if x.path else 0 for x in lines]
+    chosen = {n for n, good in zip(own, content) if good}
+    links: dict[int, list[int]] = {}  # by section: characters of its lists, and of links in them
+    for x, n in zip(lines, own):
+        if x.lists:
+            sums = links.setdefault(n, [0, 0])
+            sums[0] += len(x.text)
+            sums[1] += x.linked
+    plain = {n for n, (every, linked) in links.items() if 2 * linked < every}
+    kept = np.array([x.alive and n in chosen and (not x.lists or n in plain) for x, n in zip(lines, own)], bool) | content
+    # what lies between two kept lines of a section that holds both
+    before = np.maximum.accumulate(np.where(kept, np.arange(len(kept)), -1))
+    after = np.minimum.accumulate(np.where(kept, np.arange(len(kept)), len(kept))[::-1])[::-1]
+    for k in np.flatnonzero(~kept & (before >= 0) & (after < len(kept))):
+        around = lines[k].path[-2:-1]
+        kept[k] = lines[k].alive and bool(around) and all(around[0] in lines[i].path[-2:] for i in (before[k], after[k]))
+    return kept
+
+
 def main_text(html: str) -> str:
     """The content lines of a page, joined by spaces; empty if there are none."""
     parser = Lines()
     parser.feed(html)
     lines = parser.finish()
-    alive = np.array([x[3] for x in lines], bool)
-    if not alive.any():
+    if not lines:
         return ""
-    sizes = np.array([len(x[0]) for x in lines], float)
-    score = smoothed(sizes / np.maximum([x[1] for x in lines], 1))
-    content = (score >= min(score.std(), score[alive].max())) & alive
-    articles: dict[int, bool] = {}
-    for line, good in zip(lines, content):
-        if line[3]:
-            for tag, n in line[2]:
-                if tag == "article":
-                    articles[n] = articles.get(n, False) or bool(good)
-                    break
-    chosen = {n for n, good in articles.items() if good}
-    alone: set[int] = set()
-    if not chosen:
-        held: dict[int, float] = {}
-        for line, size, good in zip(lines, sizes, content):
-            if good:
-                for _, n in line[2]:
-                    held[n] = held.get(n, 0) + size
-        most = sizes[content].sum()
-        deep = max((n for n, size in held.items() if size >= 0.7 * most), default=0)
-        chosen = {deep}
-        # content outside: the sibling of the region or of what holds it, or the line alone
-        inside = [any(n == deep for _, n in line[2]) for line in lines]
-        above = {n for line, own in zip(lines, inside) if own for _, n in line[2] if n < deep}
-        for line, own, good in zip(lines, inside, content):
-            if good and deep and not own:
-                beside = [n for _, n in line[2] if n not in above]
-                chosen.update([min(beside)] if beside else [])
-                alone.add(id(line))
-    return " ".join(x[0] for x in lines if x[3] and (0 in chosen or id(x) in alone or any(n in chosen for _, n in x[2])))
+    return " ".join(x.text for x, good in zip(lines, region(lines, clusters(lines))) if good)
 
 
 def extract(pages: DataFrame) -> DataFrame:
