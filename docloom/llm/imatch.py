@@ -1,9 +1,13 @@
 """I-Match document fingerprints, in DataFrame expressions only.
 
-A document's terms are kept within a band of inverse document frequency, sorted, and
-hashed once per randomised subset of the lexicon.  Subsets of different densities react
-to edits of different sizes; the likeness of two documents is the share of subsets on
-which they agree, of those that either has terms of.
+A document's distinct terms are kept within a band of inverse document frequency, sorted,
+and hashed once per randomised subset of the lexicon.  The subsets form a tree: the bits
+of a term's own hash halve the lexicon level by level, and from ``WIDTH`` subsets on only
+the first half of a level is divided again.  So there are ``WIDTH`` subsets of every
+density down to a 4096th, and texts of every length have some that an edit leaves alone.
+The few first levels are also taken of all terms, for texts with hardly any in the band.
+The likeness of two documents is the share of subsets on which they agree, of those that
+either has terms of.
 
 A term is in the band if between ``LOW`` and ``HIGH`` of all documents have it.  That
 bounds the lexicon, however large the corpus is: documents with T distinct terms each
@@ -12,8 +16,6 @@ on average have at most T / LOW terms as frequent as that.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,13 +23,11 @@ from .common import stored
 
 #: Shares of all documents that a term of the lexicon occurs in (idf 6.2 to 1.6).
 LOW, HIGH = 0.002, 0.2
-#: A document with fewer terms in the band takes all its terms.
-FEW = 4
-#: For each lexicon subset: bits that must all be set in a term's hash for the subset to
-#: have it; 1 bit is half of the lexicon, 8 bits a 256th.
-SUBSETS = (1, 2, 3, 4, *[5] * 4, *[6] * 6, *[8] * 12)
-#: Documents whose ids fall in a range of about this many rows are put in order together.
-RANGE_ROWS = 2048
+#: Levels of the tree of subsets of the band, and of all terms; most subsets of a level.
+LEVELS, ALL_LEVELS, WIDTH = 12, 4, 32
+#: Documents are put in order together by ranges of about ``RANGE_ROWS`` rows, or of more
+#: where that takes more than ``COARSE`` ** 2 ranges.
+RANGE_ROWS, COARSE = 2048, 128
 #: Buckets of the lexicon's look-up table.
 BUCKETS = 8192
 
@@ -47,84 +47,95 @@ def lexicon(docs: DataFrame) -> DataFrame:
 
 
 def look_up(words: DataFrame) -> Column:
-    """The lexicon as one constant: an array of ``BUCKETS`` arrays, by the terms'
-    remainders.  It is written as text, which the optimizer folds to a value, since
-    subqueries can't stand inside higher-order functions."""
-    slots: list[list[int]] = [[] for _ in range(BUCKETS)]
-    for x in words.toLocalIterator():  # at most T / LOW rows, see above
-        slots[x.term % BUCKETS].append(x.term)
-    return F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<array<bigint>>")
-
-
-def banded(text: Column, table: Column) -> Column:
-    """The sorted terms of a text that are in the lexicon; all of them if those are few."""
-    every = terms(text)
-    # bound once each, as elements of one-element arrays, so that they aren't computed again
-    inside = lambda a: F.filter(a, lambda x: F.array_contains(F.get(table, F.pmod(x, F.lit(BUCKETS)).cast("int")), x))
-    both = F.transform(F.array(every), lambda a: F.struct(a.alias("every"), inside(a).alias("kept")))
-    return F.get(F.transform(both, lambda s: F.sort_array(F.when(F.size(s["kept"]) < FEW, s["every"]).otherwise(s["kept"]))), F.lit(0))
-
-
-def signatures(own: Column) -> Column:
-    """For each lexicon subset the hash of the terms in it, in order; null if none."""
-    def member(number: int, at: int, bits: int):
-        mask = F.lit((1 << bits) - 1)
-        return lambda x: F.shiftrightunsigned(F.xxhash64(x, F.lit(number)), at).bitwiseAND(mask) == mask
-
-    # each subset has bits of its own, of the first, second, ... hash of the term
-    out, number, at = [], 0, 0
-    for bits in SUBSETS:
-        if at + bits > 64:
-            number, at = number + 1, 0
-        some = F.filter(own, member(number, at, bits))
-        out.append(F.get(F.transform(F.array(some), lambda s: F.when(F.size(s) > 0, F.xxhash64(s))), F.lit(0)))
-        at += bits
-    return F.array(*out)
-
-
-def fingerprint(text: Column, table: Column) -> Column:
-    """The signatures of a text as an array of nullable longs."""
-    return F.get(F.transform(F.array(banded(text, table)), signatures), F.lit(0))
+    """The lexicon as one value, an array of ``BUCKETS`` arrays by the terms' remainders:
+    a subquery of one row with at most T / LOW terms."""
+    own = words.groupBy(F.pmod("term", F.lit(BUCKETS)).alias("id")).agg(F.collect_list("term").alias("own"))
+    every = words.sparkSession.range(BUCKETS).join(own, "id", "left")
+    slots = F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("own", F.array().cast("array<bigint>")).alias("own")))), lambda x: x["own"])
+    return every.agg(slots.alias("slots")).scalar()
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def signatures(own: Column, levels: int) -> Column:
+    """For each lexicon subset, level by level, the hash of the terms in it; null if none.
+    ``own`` is sorted, and so is what is kept of it."""
+
+    def go(groups: Column, level: int, n: int) -> Column:
+        marks = F.transform(groups, lambda g: F.when(F.size(g) > 0, F.hash(g)))
+        if level == levels:
+            return marks
+        bit = F.lit(63 - level)
+        halves = lambda g: F.array(F.filter(g, lambda x: F.getbit(x, bit) == 0), F.filter(g, lambda x: F.getbit(x, bit) == 1))
+        divided = F.flatten(F.transform(groups if n < WIDTH else F.slice(groups, 1, WIDTH // 2), halves))
+        return F.concat(marks, bound(divided, lambda x: go(x, level + 1, min(2 * n, WIDTH))))
+
+    return bound(F.array(own), lambda x: go(x, 0, 1))
+
+
+def fingerprinted(df: DataFrame, name: str, text: str, table: Column) -> DataFrame:
+    """``df`` with the signatures of a text column as an array of nullable integers: those
+    of the terms in the band, then those of all terms."""
+    inside = lambda every: F.filter(every, lambda x: F.array_contains(F.get("table", F.pmod(x, F.lit(BUCKETS)).cast("int")), x))
+    marks = bound(F.sort_array(terms(F.col(text))), lambda every: F.concat(signatures(inside(every), LEVELS), signatures(every, ALL_LEVELS)))
+    return df.select("*", table.alias("table")).select(*df.columns, marks.alias(name))  # no subquery may stand inside of the functions
 
 
 def shown(marks: Column) -> Column:
-    """A fingerprint as text: 16 hex digits per subset, ``-`` for a subset without terms."""
-    return F.array_join(F.transform(marks, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x), 16, "0")), F.lit("-"))), ":")
+    """A fingerprint as text: 8 hex digits per subset, ``-`` for a subset without terms."""
+    return F.array_join(F.transform(marks, lambda x: F.coalesce(F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), F.lit("-"))), ":")
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The share of subsets with equal hashes, of those that either text has terms of; 1
     for two texts without any terms."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), F.lit(None)).otherwise(F.coalesce(x == y, F.lit(False)).cast("int")))
-    known = F.filter(pairs, lambda x: x.isNotNull())
-    return F.when(F.size(known) == 0, F.lit(1.0)).otherwise(F.aggregate(known, F.lit(0), lambda s, x: s + x) / F.size(known))
+    count = lambda test: F.size(F.filter(F.zip_with(a, b, test), lambda x: x))
+    known = F.size(a) - count(lambda x, y: x.isNull() & y.isNull())
+    return F.when(known == 0, F.lit(1.0)).otherwise(count(lambda x, y: x == y) / known)
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with next_text: that of the next row in ascending (doc_id,
-    text), nulls first; after the last row comes the first.
-
-    Rows are dealt once, by ranges of doc_id of about ``RANGE_ROWS`` rows, and put in
-    order in their range; the first row of each range is then given to the last row of
-    the range before.
+def ranges(docs: DataFrame) -> Column:
+    """The number of a row's range of doc_id: ranges hold about equally many rows, whatever
+    the ids are; -1 for null ids."""
+    n = docs.count()
+    many = min(COARSE**2, n // RANGE_ROWS)
+    if many < 1:
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(0)
+    shares = [k / (many + 1) for k in range(1, many + 1)]
+    own = docs.agg(F.percentile_approx("doc_id", shares, 10 * many).alias("own")).first().own or []
+    own = sorted(set(own))
+    # looked up in two steps: which of the coarse bounds, then which of those up to the next
+    parts = [own[k : k + COARSE] for k in range(0, len(own), COARSE)] or [[]]
+    array = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<bigint>")
+    reached = lambda x: F.size(F.filter(x, lambda v: v <= F.col("doc_id")))
+    coarse = reached(array([x[0] for x in parts[1:]]))
+    fine = F.array(*[array(x) for x in parts])
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(coarse * COARSE + reached(F.get(fine, coarse)))
+
+
+def with_next(docs: DataFrame, table: Column) -> DataFrame:
+    """``docs`` (doc_id, text) with marks, and next: the text and marks of the next row in
+    ascending (doc_id, text), nulls first; after the last row comes the first.
+
+    Rows are dealt once, by ranges of doc_id, and put in order in their range; the first
+    row of each range is then given to the last row of the range before.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    if low is None:
-        low = high = 0
-    width = max(1, (high - low + 1) * RANGE_ROWS // max(n, 1))
-    ranges = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
-    dealt = docs.select("doc_id", "text", ranges.alias("range")).repartition("range")
-    heads = dealt.groupBy("range").agg(F.min(F.struct("doc_id", "text")).alias("head"))
-    # one narrow row per range, in one order
-    around = Window.orderBy("its")
-    its = docs.select(ranges.alias("its")).distinct()
-    wrap = its.agg(F.max("its").alias("top")).scalar()
-    before = its.select("its", F.coalesce(F.lag("its").over(around), wrap).alias("before"))
-    first = heads.join(before, F.col("range") == F.col("its")).select("before", F.col("head.text").alias("first"))
+    where = ranges(docs)
+    dealt = fingerprinted(docs.select("doc_id", "text", where.alias("range")).repartition("range"), "marks", "text", table)
     order = Window.partitionBy("range").orderBy("doc_id", "text")
-    ahead = dealt.withColumn("ahead", F.lead("text").over(order))
+    ahead = dealt.withColumn("ahead", F.lead(F.struct("text", "marks")).over(order))
+    # one row per range, of which there are COARSE ** 2 + 2 at most
+    least = docs.select(where.alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id").alias("least"))
+    around = Window.orderBy("range")
+    top = least.agg(F.max("range")).scalar()
+    its = least.select("range", "least", F.coalesce(F.lag("range").over(around), top).alias("before"))
+    heads = docs.join(F.broadcast(its), F.col("doc_id").eqNullSafe(F.col("least"))).groupBy("before").agg(F.min("text").alias("text"))
+    first = fingerprinted(heads, "marks", "text", table).select("before", F.struct("text", "marks").alias("first"))
     joined = ahead.join(first, F.col("range") == F.col("before"), "left")
-    return joined.select("doc_id", "text", F.coalesce("ahead", "first").alias("next_text"))
+    return joined.select("doc_id", "text", "marks", F.coalesce("ahead", "first").alias("next"))
 
 
 def edited(text: Column, after: Column) -> Column:
@@ -144,11 +155,10 @@ def imatch(docs: DataFrame) -> DataFrame:
     doc_id come first; a single row is its own next; an empty table gives no rows.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    words = stored(lexicon(docs), "lexicon")
-    table = look_up(words)
-    other = edited(F.col("text"), F.col("next_text"))
-    marks = [fingerprint(x, table).alias(f) for f, x in (("marks", F.col("text")), ("edited_marks", other), ("next_marks", F.col("next_text")))]
-    return with_next(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(other.cast("binary"), 256).alias("edited_sha256"), *marks)
+    table = look_up(stored(lexicon(docs), "lexicon"))
+    other = edited(F.col("text"), F.col("next.text"))
+    found = with_next(docs, table).select("doc_id", F.length("text").cast("long").alias("n_chars"), "marks", F.col("next.marks").alias("next_marks"), other.alias("edited"))
+    return fingerprinted(found, "edited_marks", "edited", table).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
 
 
 def op5_imatch(spark, sf_dir: str) -> DataFrame:
