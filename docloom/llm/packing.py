@@ -60,6 +60,7 @@ class Plan:
         self.taken = dict.fromkeys(counts, 0)
         self.runs: dict[int, list[tuple[int, int, int, int]]] = {k: [] for k in counts}
         self.capacity, self.sequences = capacity, 0
+        self.steps: dict[str, int] = {}
         self.fixed = self._reduce()
         self._best_fit()
 
@@ -80,22 +81,31 @@ class Plan:
         self.sequences += m
 
     def _reduce(self) -> int:
-        """Fixes sets that dominate every other set with the same largest item."""
+        """Fixes sets that dominate every other set with one of their items, for all
+        lengths from the largest on, until none is left; ``steps`` counts the sequences."""
         for x in sorted(self.left, reverse=True):  # a full sequence, or two items that fill one: nothing can do better by either
             if x == self.capacity:
-                self._fix(x)
+                self._fixed("full", x)
             elif x > self.capacity - x and x in self.left and self.capacity - x in self.left:
-                self._fix(x, self.capacity - x)
+                self._fixed("filled by two", x, self.capacity - x)
             elif 2 * x == self.capacity and self.left.get(x, 0) > 1:
-                self._fix(x, x)
-        while self.left and (found := self._dominating()):
-            self._fix(*found)
+                self._fixed("filled by two", x, x)
+        before = -1
+        while before < self.sequences:
+            before = self.sequences
+            for x in sorted(self.left, reverse=True):
+                while x in self.left and (found := self._dominating(x)):
+                    self._fixed(f"dominating {len(found)}", *found)
         return self.sequences
 
-    def _dominating(self) -> tuple[int, ...] | None:
-        """A set of up to three items with the largest one that provably dominates all."""
+    def _fixed(self, step: str, *pattern: int) -> None:
+        before = self.sequences
+        self._fix(*pattern)
+        self.steps[step] = self.steps.get(step, 0) + self.sequences - before
+
+    def _dominating(self, top: int) -> tuple[int, ...] | None:
+        """A set of up to three items with ``top`` that provably dominates all with it."""
         sizes = sorted(self.left)
-        top = sizes[-1]
         room = self.capacity - top
 
         def least(k: int) -> int:
