@@ -13,7 +13,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch_of, slices, stored
@@ -38,45 +38,67 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
+class Fold:
+    """The messages of a conversation while its events are applied in order.
 
-def fold(messages: list[list], event: tuple) -> None:
-    """Applies an event (op, message, role, text) to the messages [id, role, text, open].
-
-    message or null op: a whole message.  delta: appends to the message with that id, or,
-    without id, to the last one if it is open and of that role; else opens one.  edit:
-    replaces the text of the message (the last one without id).  regenerate: withdraws
-    the last message of that role (assistant by default) and all after it.  delete:
-    removes the message.  Unknown messages make edits and deletions void.
+    Messages are found by id and by role through stacks, whose entries go stale when a
+    message is withdrawn, so a long log takes a step an event and no search.
     """
-    op, name, role, text = event
-    text = text or ""
 
-    def at() -> int:
+    def __init__(self):
+        self.messages: dict[int, list] = {}  # by arrival: [role, parts of the text, open]
+        self.named: dict[object, list[int]] = {}
+        self.played: dict[object, list[int]] = {}
+        self.count = 0
+
+    def _last(self, stack: list[int] | None) -> int | None:
+        while stack and stack[-1] not in self.messages:
+            stack.pop()
+        return stack[-1] if stack else None
+
+    def _at(self, name) -> int | None:
         if name is None:
-            return len(messages) - 1
-        return next((k for k in range(len(messages) - 1, -1, -1) if messages[k][0] == name), -1)
-
-    if op in (None, "message"):
-        messages.append([name, role, [text], False])
-    elif op == "delta":
-        k = at()
-        if k >= 0 and (name is not None or messages[k][3] and messages[k][1] == role):
-            messages[k][2].append(text)
+            return next(reversed(self.messages), None)
+        return self._last(self.named.get(name))
+
+    def _append(self, name, role, text: str, open_: bool) -> None:
+        self.messages[self.count] = [role, [text], open_]
+        if name is not None:
+            self.named.setdefault(name, []).append(self.count)
+        self.played.setdefault(role, []).append(self.count)
+        self.count += 1
+
+    def apply(self, op: str | None, name, role, text: str | None) -> None:
+        """message or null op: a whole message.  delta: appends to the message with that
+        id, or, without id, to the last one if it is open and of that role; else opens one.
+        edit: replaces the text of the message (the last one without id).  regenerate:
+        withdraws the last message of that role (assistant by default) and all after it.
+        delete: removes the message.  Unknown messages make edits and deletions void.
+        """
+        text = text or ""
+        if op in (None, "message"):
+            self._append(name, role, text, False)
+        elif op == "delta":
+            at = self._at(name)
+            if at is not None and (name is not None or self.messages[at][2] and self.messages[at][0] == role):
+                self.messages[at][1].append(text)
+            else:
+                self._append(name, role, text, True)
+        elif op == "edit":
+            if (at := self._at(name)) is not None:
+                self.messages[at][1] = [text]
+        elif op == "delete":
+            if (at := self._at(name)) is not None:
+                del self.messages[at]
+        elif op == "regenerate":
+            at = self._last(self.played.get(role or "assistant"))
+            while at is not None and self.messages and next(reversed(self.messages)) >= at:
+                self.messages.popitem()
         else:
-            messages.append([name, role, [text], True])
-    elif op == "edit":
-        if (k := at()) >= 0:
-            messages[k][2] = [text]
-    elif op == "delete":
-        if (k := at()) >= 0:
-            del messages[k]
-    elif op == "regenerate":
-        want = role or "assistant"
-        k = next((k for k in range(len(messages) - 1, -1, -1) if messages[k][1] == want), -1)
-        if k >= 0:
-            del messages[k:]
-    else:
-        raise ValueError(f"unknown event {op!r}")
+            raise ValueError(f"unknown event {op!r}")
+
+    def turns(self) -> list[tuple[str | None, str]]:
+        return [(role, "".join(parts)) for role, parts, _ in self.messages.values()]
 
 
 def render(turns: list[tuple[str | None, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -121,23 +143,24 @@ def parse(formatted: str) -> list[tuple[str | None, str]]:
 
 def _conversations(batches):
     """Folds the sorted events of a partition; holds one conversation's messages."""
-    conv, messages, any_ = None, [], False
+    conv, own = None, None
 
     def chat():
-        formatted, loss = render([(role, "".join(text)) for _, role, text, _ in messages])
-        return conv, len(messages), formatted, [{"start": a, "stop": b} for a, b in loss]
+        turns = own.turns()
+        formatted, loss = render(turns)
+        return conv, len(turns), formatted, [{"start": a, "stop": b} for a, b in loss]
 
     for batch in slices(batches, 4096):
         out = []
         for name, *event in zip(*(batch.column(f).to_pylist() for f in ("conv_id", "op", "msg_id", "role", "text"))):
-            if any_ and name != conv:
-                out.append(chat())
-                messages = []
-            conv, any_ = name, True
-            fold(messages, tuple(event))
+            if own is None or name != conv:
+                if own is not None:
+                    out.append(chat())
+                conv, own = name, Fold()
+            own.apply(*event)
         if out:
             yield batch_of(_chats, list(map(list, zip(*out))))
-    if any_:
+    if own is not None:
         yield batch_of(_chats, list(map(list, zip(*[chat()]))))
 
 
@@ -175,10 +198,34 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+def as_events(turns: DataFrame) -> DataFrame:
+    """A log of events that ends in ``turns`` (conv_id, seq, role, text): an assistant's
+    turn is a draft in two deltas that is withdrawn and generated again in three; a turn of
+    any other role is sent with the first half of its text and then edited.
+
+    Turns with equal seq are ordered by role and text, nulls first, and a repeated row is
+    a turn of its own; a role of null counts as any other.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "role", "text"))
+    numbered = turns.select("conv_id", place.cast("long").alias("place"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    third, half = F.floor(F.length("text") / 3).cast("int"), F.floor(F.length("text") / 2).cast("int")
+    draft, own = F.concat(F.col("place").cast("string"), F.lit("d")), F.col("place").cast("string")
+    cut = lambda start, size: F.substring("text", start, size)
+    none = F.lit(None).cast("string")
+    event = lambda op, name, role, text: F.struct(F.lit(op).alias("op"), name.alias("msg_id"), role.alias("role"), text.alias("text"))
+    answered = [
+        event("delta", draft, F.col("role"), F.lit("Let me")), event("delta", draft, F.col("role"), cut(F.lit(1), half)), event("regenerate", none, F.col("role"), none),
+        event("delta", own, F.col("role"), cut(F.lit(1), third)), event("delta", own, none, cut(third + 1, third)), event("delta", own, none, cut(2 * third + 1, F.length("text"))),
+    ]
+    asked = [event("message", own, F.col("role"), cut(F.lit(1), half)), event("edit", own, none, F.col("text"))]
+    steps = F.when(F.col("role") == "assistant", F.array(*answered)).otherwise(F.array(*asked))
+    return numbered.select("conv_id", "place", F.posexplode(steps).alias("step", "event")).select("conv_id", (F.col("place") * 8 + F.col("step")).alias("seq"), "event.*")
+
+
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
     said = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "role", "text")
     control = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, seq long, role string, text string")
-    return read_back(stored(format_chats(said.unionByName(extra)), "chats"))
+    return read_back(stored(format_chats(as_events(said.unionByName(extra))), "chats"))
