@@ -2,38 +2,43 @@
 
 A window is 8 consecutive words of a benchmark item.  With 4-word grams, an 8-word window
 holds 5 of them; its winnowing fingerprint is the least of their hashes.  Documents are
-winnowed alike, fingerprints are joined, and a joined window is extended to its 8 words
-and compared word by word: every shared span of 8 words is found, and nothing else.
+winnowed alike, fingerprints are joined, and a joined window is extended to its 8 words,
+which must be equal too: every shared span of 8 words is found, and nothing else.
 An item of fewer words is one window, below what winnowing guarantees; such windows are
 joined by the hash of the whole.
 
-The benchmark is indexed in blocks of a bounded size, written to the shared folder; a
-worker goes through all blocks for each batch of documents and holds one at a time.
+The join is Spark's, so the benchmark may have any size.  Before it, a Bloom filter of the
+benchmark's fingerprints, of at most ``FILTER_BITS`` bits, drops the windows of documents
+that can't join; what it lets through by mistake the join drops.
 """
 
 from __future__ import annotations
 
-import hashlib
-import io
 import re
 from functools import lru_cache
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, create, filesystem, scratch, slices, texts
+from .common import batch_of, filesystem, scratch, slices, stored, texts
 
 WINDOW, GRAM = 8, 4
-#: Characters of benchmark text in a block: what the driver collects, and a worker holds, at once.
-BLOCK_CHARS = 16_000_000
+#: Bits of the filter for a fingerprint, and at most; numbers of bits a fingerprint sets.
+BITS, FILTER_BITS, PROBES = 32, 1 << 29, 4
+#: Parts that the hits of a text are given to, so that many copies of it are dealt.
+SALTS = 16
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of UTF-8: A-Z lower-cased, ASCII but letters and digits to a space.
 _FOLD = bytes(c if c > 0x7F or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 SPANS = "array<struct<start:int,stop:int>>"
+PLACES = "array<struct<fp:long,at:int,size:int,words:string>>"
 _span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+_place = pa.list_(pa.struct([("fp", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("words", pa.string())]))
+_seen = pa.schema([("doc_id", pa.int64()), ("one", pa.int64()), ("two", pa.int64()), ("n_words", pa.int64()), ("places", _place)])
 _found = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", _span)])
 
 
@@ -42,139 +47,151 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    """Well-spread 64-bit values of word numbers."""
-    x = (x.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(27))
 
 
-def _hash(rows: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of each row of word numbers."""
-    by = _mixed(np.arange(rows.shape[1]) + 1000 * seed + 7) | np.uint64(1)
-    return _mixed((_mixed(rows) * by).sum(1, dtype=np.uint64))
-
-
-def _least(rows: np.ndarray) -> np.ndarray:
-    """The winnowing fingerprint of each 8-word row."""
-    grams = np.stack([_hash(rows[:, i : i + GRAM], 0) for i in range(WINDOW - GRAM + 1)], 1)
-    return grams.min(1)
-
-
-class Block:
-    """The index of some benchmark items, given as (item_id, text)."""
-
-    def __init__(self, items: list[tuple[object, str | None]]):
-        self.vocabulary: dict[bytes, int] = {}
-        self.names = sorted({str(i) for i, _ in items if i is not None})
-        place = {x: k for k, x in enumerate(self.names)}
-        rows: dict[int, list] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            if ids:
-                size = min(WINDOW, len(ids))
-                own = np.lib.stride_tricks.sliding_window_view(np.array(ids, np.int32), size)
-                rows.setdefault(size, []).append((own, -1 if item is None else place[str(item)]))
-        self.tables = {size: self._table(size, parts) for size, parts in rows.items()}
-
-    @staticmethod
-    def _table(size: int, parts: list) -> dict:
-        every = np.concatenate([x for x, _ in parts])
-        owner = np.repeat([p for _, p in parts], [len(x) for x, _ in parts])
-        windows, which = np.unique(every, axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([which.ravel(), owner], 1), axis=0)
-        pairs = pairs[pairs[:, 1] >= 0]
-        seed = 1
-        while len(np.unique(h := _hash(windows, seed))) < len(h):
-            seed += 1
-        order = np.argsort(h)
-        table = {"seed": seed, "hashes": h[order], "windows": windows[order]}
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        pairs = pairs[np.argsort(rank[pairs[:, 0]], kind="stable")]
-        table["first"] = np.searchsorted(rank[pairs[:, 0]], np.arange(len(order) + 1))
-        table["items"] = pairs[:, 1]
-        if size == WINDOW:
-            table["prints"] = np.unique(_least(windows))
-        return table
-
-    def find(self, ids: np.ndarray):
-        """(position, size, window number, table) of the windows in a row of word numbers
-        where 0 is any word that no item has."""
-        none = np.r_[0, np.cumsum(ids == 0)]
-        for size, t in self.tables.items():
-            if len(ids) < size:
-                continue
-            at = np.flatnonzero(none[size:] == none[:-size])
-            rows = np.lib.stride_tricks.sliding_window_view(ids, size)[at]
-            if size == WINDOW and len(at):
-                prints, least = t["prints"], _least(rows)
-                k = np.minimum(np.searchsorted(prints, least), len(prints) - 1)
-                at, rows = at[joined := prints[k] == least], rows[joined]
-            if not len(at):
-                continue
-            h = _hash(rows, t["seed"])
-            k = np.minimum(np.searchsorted(t["hashes"], h), len(t["hashes"]) - 1)
-            same = (t["windows"][k] == rows).all(1)
-            yield at[same], size, k[same], t
-
-
-def build_index(benchmark: DataFrame) -> list[str]:
-    """Block files of ``benchmark`` (item_id, text) in the shared folder."""
-    import pickle
-
-    spark = benchmark.sparkSession
-    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, folder, out = int(size // BLOCK_CHARS) + 1, scratch(spark, "benchmark-index"), []
-    keyed = benchmark.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).alias("block"))
-    for k in range(blocks):
-        items = [(x.item_id, x.text) for x in keyed.where(F.col("block") == k).collect()]
-        out.append(f"{folder}/{k}.block")
-        with create(out[-1]) as file:
-            file.write(pickle.dumps(Block(items)))
-    return out
+def _runs(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words of a flow of word hashes."""
+    n, by = max(0, len(h) - size + 1), _mixed(np.arange(size, dtype=np.uint64) + np.uint64(1000 * size)) | np.uint64(1)
+    out = np.zeros(n, np.uint64)
+    for j in range(size):
+        out += h[j : j + n] * by[j]
+    return _mixed(out)
+
+
+def fingerprints(h: np.ndarray, size: int) -> np.ndarray:
+    """Of every window of ``size`` words of a flow: the least hash of its grams, or for a
+    short window the hash of the whole."""
+    if size < WINDOW:
+        return _runs(h, size)
+    grams = _runs(h, GRAM)
+    n = max(0, len(h) - WINDOW + 1)
+    return np.minimum.reduce([grams[i : i + n] for i in range(WINDOW - GRAM + 1)]) if n else np.empty(0, np.uint64)
+
+
+def _bits(fp: np.ndarray, size: int) -> list[np.ndarray]:
+    step = _mixed(fp) | np.uint64(1)
+    return [(fp + np.uint64(k) * step) & np.uint64(size - 1) for k in range(PROBES)]
+
+
+def _flow(data: list[str]):
+    """(words of all texts, their hashes, numbers of words, starts)"""
+    words, sizes = [], []
+    for x in data:
+        own = words_of(x)
+        words += own
+        sizes.append(len(own))
+    sizes = np.array(sizes, np.int64)
+    return words, np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), sizes, np.cumsum(sizes) - sizes
+
+
+class Index:
+    """A benchmark's windows: ``table`` (fp, size, words, items) in the shared folder, the
+    sizes that there are (at most ``WINDOW``), and the filter's folder and bits."""
+
+    def __init__(self, benchmark: DataFrame):
+        spark = benchmark.sparkSession
+
+        def windows(batches):
+            for batch in slices(batches, 64):
+                out = [[], [], [], []]
+                for item, text in zip(batch.column("item").to_pylist(), texts(batch.column("text"))):
+                    words, h, _, _ = _flow([text])
+                    size = min(WINDOW, len(words))
+                    for k, fp in enumerate(fingerprints(h, size).view(np.int64).tolist() if size else ()):
+                        for x, v in zip(out, (fp, size, b" ".join(words[k : k + size]).decode(), item)):
+                            x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.string(), pa.string()))], names=["fp", "size", "words", "item"])
+
+        every = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(windows, "fp long, size int, words string, item string")
+        self.table = stored(every.groupBy("fp", "size", "words").agg(F.collect_set("item").alias("items")), "benchmark-windows")
+        counts = {x["size"]: x["n"] for x in self.table.groupBy("size").agg(F.count("*").alias("n")).collect()}
+        self.sizes, n = sorted(counts), sum(counts.values())
+        self.bits = min(FILTER_BITS, 1 << max(6, (BITS * n - 1).bit_length()))
+        bits = self.bits
+
+        def marks(batches):
+            for batch in batches:
+                at = np.unique(np.concatenate(_bits(batch.column("fp").to_numpy().view(np.uint64), bits)))
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"])
+
+        self.folder = scratch(spark, "benchmark-filter")
+        self.table.select("fp").mapInArrow(marks, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bit")).write.parquet(self.folder)
 
 
 @lru_cache(maxsize=1)
-def _block(uri: str) -> Block:
-    import pickle
-
-    files, path = filesystem(uri)
-    with files.open_input_file(path) as file:
-        return pickle.load(io.BytesIO(file.read()))
-
-
-def scan_texts(data: list[str | None], blocks: list[str], short: bool = True) -> list[tuple[int, int, list[str], list[dict]]]:
-    """(words, hit words, item names as sorted strings, hit spans in words) of each text.
-    Without ``short``, items of fewer than ``WINDOW`` words mark words but aren't named."""
-    words = [words_of(x) for x in data]
-    sizes = np.array([len(x) for x in words], np.int64)
-    starts = np.r_[0, np.cumsum(sizes + 1)]  # a stop between documents: no window spans two
-    total = int(starts[-1])
-    cover, names = np.zeros(total + WINDOW + 1, np.int64), [set() for _ in data]
-    for uri in blocks:
-        block = _block(uri)
-        flow = chain.from_iterable(chain(x, (b"",)) for x in words)
-        ids = np.fromiter(map(block.vocabulary.get, flow, repeat(0)), np.int32, total)
-        for at, size, k, t in block.find(ids):
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + size, -1)
-            if size < WINDOW and not short:
-                continue
-            seen = np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, k], 1), axis=0)
-            for doc, window in seen.tolist():
-                names[doc].update(block.names[i] for i in t["items"][t["first"][window] : t["first"][window + 1]])
-    hit = (np.cumsum(cover) > 0)[:total]
-    counts = np.add.reduceat(hit, starts[:-1]) if len(data) else []
-    out = []
-    for i, n in enumerate(sizes.tolist()):
-        spans = []
-        if counts[i]:
-            edge = np.flatnonzero(np.diff(np.r_[0, hit[starts[i] : starts[i] + n].astype(np.int8), 0]))
-            spans = [{"start": int(a), "stop": int(b)} for a, b in edge.reshape(-1, 2)]
-        out.append((n, int(counts[i]), sorted(names[i]), spans))
+def _filter(folder: str, bits: int) -> np.ndarray:
+    files, path = filesystem(folder)
+    rows = pq.read_table(path, filesystem=files, columns=["word", "bit"])
+    out = np.zeros(bits >> 6, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bit").to_numpy().view(np.uint64)
     return out
 
 
+def _passing(fp: np.ndarray, own: np.ndarray, bits: int) -> np.ndarray:
+    """Which fingerprints are in the filter."""
+    at = np.arange(len(fp))
+    for k in range(PROBES):
+        place = _bits(fp[at], bits)[k]
+        at = at[(own[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)) > 0]
+    return at
+
+
+def _winnow(docs: DataFrame, index: Index) -> DataFrame:
+    """A row per row of ``docs`` (doc_id, text): its text as two hashes, the number of its
+    words, and the windows that may be in the benchmark."""
+    folder, bits, sizes = index.folder, index.bits, index.sizes
+
+    def run(batches):
+        own = _filter(folder, bits) if sizes else None
+        for batch in slices(batches):
+            words, h, counts, starts = _flow(texts(batch.column("text")))
+            places = [[] for _ in counts]
+            for size in sizes:
+                fp = fingerprints(h, size)
+                at = _passing(fp, own, bits)
+                doc = np.searchsorted(starts, at, "right") - 1  # of empty documents at the same place, the last
+                inside = at + size <= (starts + counts)[doc]
+                for d, k, x in zip(doc[inside].tolist(), at[inside].tolist(), fp[at[inside]].view(np.int64).tolist()):
+                    places[d].append({"fp": x, "at": k - int(starts[d]), "size": size, "words": b" ".join(words[k : k + size]).decode()})
+            yield batch_of(_seen, [batch.column("doc_id"), batch.column("one"), batch.column("two"), counts, places])
+
+    return docs.select("doc_id", *_text_hashes(), "text").mapInArrow(run, f"doc_id long, one long, two long, n_words long, places {PLACES}")
+
+
+def _text_hashes():
+    return [F.xxhash64("text").alias("one"), F.xxhash64("text", F.lit(1)).alias("two")]
+
+
+def _hits(seen: DataFrame, index: Index) -> DataFrame:
+    """(one, two, places, items) of the texts that have windows of the benchmark, for each
+    of ``SALTS`` salts.  Copies of a text count once, and frequent windows are dealt by
+    salt to all tasks."""
+    own = seen.where(F.size("places") > 0).select("one", "two", F.explode("places").alias("p")).select("one", "two", "p.*").distinct()
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    windows = index.table.withColumn("salt", salts)
+    joined = own.withColumn("salt", F.pmod("one", F.lit(SALTS)).cast("int")).join(windows, ["fp", "size", "words", "salt"])
+    texts_ = joined.groupBy("one", "two").agg(F.collect_list(F.struct("at", "size")).alias("places"), F.collect_set(F.struct("size", "items")).alias("named"))
+    return texts_.withColumn("salt", salts)
+
+
+def _merged(places: list[dict]) -> list[dict]:
+    """Places (at, size) as spans; those that overlap or touch are one."""
+    out: list[list[int]] = []
+    for start, stop in sorted((p["at"], p["at"] + p["size"]) for p in places):
+        if out and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([start, stop])
+    return [{"start": a, "stop": b} for a, b in out]
+
+
+def _names(named: list[dict] | None, least: int = 0) -> list[str]:
+    return sorted({item for x in named or () if x["size"] >= least for item in x["items"]})
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_hit, items (names as strings, sorted)
     and spans (of hit words, from word ``start`` to before ``stop``).
@@ -183,13 +200,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are null, empty or repeated add nothing; an item whose item_id is null marks words but
     has no name.  Either table may be empty.
     """
-    blocks = build_index(benchmark)
+    index = Index(benchmark)
+    seen = stored(_winnow(docs, index), "winnowed")
 
     def run(batches):
-        for batch in slices(batches):
-            yield batch_of(_found, [batch.column("doc_id"), *map(list, zip(*scan_texts(batch.column("text").to_pylist(), blocks)))])
+        for batch in batches:
+            spans = [_merged(x or ()) for x in batch.column("places").to_pylist()]
+            hit = [sum(x["stop"] - x["start"] for x in own) for own in spans]
+            yield batch_of(_found, [batch.column("doc_id"), batch.column("n_words"), hit, [_names(x) for x in batch.column("named").to_pylist()], spans])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}")
+    salt = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)).cast("int")
+    own = seen.select("doc_id", "one", "two", "n_words", salt.alias("salt")).join(_hits(seen, index), ["one", "two", "salt"], "left")
+    return own.select("doc_id", "n_words", "places", "named").mapInArrow(run, f"doc_id long, n_words long, n_hit long, items array<string>, spans {SPANS}")
 
 
 def cut_words(text: str, spans: list[dict]) -> str:
@@ -211,22 +233,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, most_items: int = 0, sh
     n_chars, if there is such a column, is set anew.  Texts without hits stay as they are.
     Without ``short``, items of fewer than ``WINDOW`` words count for no document: they are cut.
     """
-    blocks, schema = build_index(benchmark), docs.schema
+    index, schema = Index(benchmark), docs.schema
     names = docs.columns
+    seen = stored(_winnow(docs.select("doc_id", "text"), index).where(F.size("places") > 0).drop("doc_id", "n_words"), "winnowed")
+    least = 0 if short else WINDOW
 
     def run(batches):
         for batch in slices(batches):
-            found = scan_texts(batch.column(names.index("text")).to_pylist(), blocks, short)
-            keep = [len(x[2]) <= most_items for x in found]
-            columns = dict(zip(names, batch.columns))
-            if any(x[3] and k for x, k in zip(found, keep)):
-                cut = [cut_words(t, x[3]) if x[3] else t for t, x in zip(columns["text"].to_pylist(), found)]
+            places, named = ([x for x in batch.column(f).to_pylist()] for f in ("__places", "__named"))
+            keep = [len(_names(x, least)) <= most_items for x in named]
+            columns = {f: batch.column(f) for f in names}
+            if any(x and k for x, k in zip(places, keep)):
+                cut = [cut_words(t, _merged(x)) if x and k else t for t, x, k in zip(columns["text"].to_pylist(), places, keep)]
                 columns["text"] = pa.array(cut, columns["text"].type)
                 if "n_chars" in columns:
                     columns["n_chars"] = pa.array([None if t is None else len(t) for t in cut], columns["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([columns[f] for f in names], names=names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    hits = _hits(seen, index).select(*(F.col(f).alias(f"__{f}") for f in ("one", "two", "salt", "places", "named")))
+    one, two = _text_hashes()
+    same = (one == F.col("__one")) & (two == F.col("__two")) & (F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SALTS)) == F.col("__salt"))
+    return docs.join(hits, same, "left").select(*names, "__places", "__named").mapInArrow(run, schema)
 
 
 def op10_winnowing(spark, sf_dir: str) -> DataFrame:
