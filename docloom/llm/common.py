@@ -42,11 +42,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _sweep() -> None:
     for spark, path in _made:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; leftovers are only files
             return
 
@@ -59,7 +63,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch)
+        _made.remove((df.sparkSession, df._scratch))
+
+
+def stored_alone(made: int, df: DataFrame, name: str) -> DataFrame:
+    """``df`` stored; then all scratch of its making, which began when there were ``made``
+    paths, is deleted."""
+    out = stored(df, name)
+    for spark, path in _made[made:]:
+        if path != out._scratch:
+            _delete(spark, path)
+    _made[made:] = [(df.sparkSession, out._scratch)]
+    return out
+
+
+def made() -> int:
+    return len(_made)
 
 
 def filesystem(uri: str):

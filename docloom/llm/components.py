@@ -1,8 +1,9 @@
 """Connected components of an edge list, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum (combined before the shuffle) and an equi-join that
-adaptive execution can split where one hub has very many edges.  The number of rounds
-grows with the logarithm of the longest chain.  Each round is checkpointed.
+Every step is a grouped minimum and its return to the edges, both dealt by salt, so a hub
+with very many edges is shared by many tasks.  The number of rounds grows with the
+logarithm of the longest chain.  Each round is a written table, and the round before it is
+deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_root
+from .common import discard, stored
+from .skew import with_totals
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -20,13 +22,13 @@ def _digest(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = with_totals(both, "u", "v", m=("min", "v")).withColumn("m", F.least("u", "m"))
+    return least.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = with_totals(edges, "u", "v", m=("min", "v"))
+    moved = least.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return least.select("u", F.col("m").alias("v")).unionByName(moved).distinct()
 
 
@@ -37,12 +39,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Direction, repeats and self-loops don't matter; edges with a null end are ignored;
     no edges give no rows.
     """
-    shared_root(edges.sparkSession)
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = pairs.distinct().checkpoint()
+    now = stored(pairs.distinct(), "edges")
     state = _digest(now)
     while state[0]:
-        now = _small_star(_large_star(now)).checkpoint()
+        before, now = now, stored(_small_star(_large_star(now)), "edges")
+        discard(before)
         then, state = state, _digest(now)
         if then == state:
             break

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, slices, stored, texts
 from .components import components
+from .skew import join_one, with_totals
 
 BUDGET, SHINGLE = 3, 3
 #: A block value with more distinct fingerprints than this is divided again.
@@ -194,11 +195,8 @@ def near_components(prints: DataFrame) -> DataFrame:
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = components(near_links(distinct.select("fp")), "a", "b")
     classes = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = classes.join(least, "root").select("fp", "component_id")
-    # one fingerprint may have very many copies: these are narrow rows on the side that
-    # adaptive execution splits
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = with_totals(classes, "root", "fp", component_id=("min", "first")).select("fp", "component_id")
+    return join_one(prints, classes, "fp", "doc_id").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
