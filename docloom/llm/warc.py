@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, create, filesystem, scratch, slices, stored, texts
+from .skew import with_totals
 
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 1000
@@ -96,10 +97,9 @@ def write_archives(pages: DataFrame, folder: str, level: int = 4, date: str = "2
     """
     digest = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
     large = F.octet_length(F.coalesce("html", F.lit(""))) >= REVISIT_BYTES
-    own = pages.select("page_id", digest.alias("digest"), large.alias("large"))
-    first = own.where("large").groupBy("digest").agg(F.max("page_id").alias("target"), F.count("*").alias("n")).where("n > 1").select("digest", "target")
-    # joined by narrow rows, then by page_id, of which no value is frequent
-    revisits = own.where("large").join(first, "digest").where("page_id < target").groupBy("page_id").agg(F.max("target").alias("target"))
+    own = pages.where(large).select("page_id", digest.alias("digest"))
+    # narrow rows, dealt by salt as one payload may be very frequent; then by page_id
+    revisits = with_totals(own, "digest", "page_id", target=("max", "page_id")).where("page_id < target").groupBy("page_id").agg(F.max("target").alias("target"))
     rows = pages.select("page_id", "url", "html").join(revisits, "page_id", "left")
 
     def write(batches):
