@@ -143,22 +143,22 @@ def learn(docs: DataFrame, per_language: int = LEARN) -> Model:
     return Model(profiles)
 
 
-def classify(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score; columns of these names are replaced.
+def classify(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with a language and its score; columns of these names are replaced.
 
     Predictions use the whole text and nothing else.  Null texts and texts without letters
     are ``und`` with score 0.  Repeated rows stay; an empty table stays empty.
     """
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    keep = [c for c in docs.columns if c not in (lang, score)]
     docs = docs.select(*keep)
-    schema = StructType([*docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema, StructField(lang, StringType()), StructField(score, DoubleType())])
     text = keep.index("text")
 
     def run(batches):
         for batch in slices(batches):
             found = [model.predict(x) for x in batch.column(text).to_pylist()]
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*keep, lang, score])
 
     return docs.mapInArrow(run, schema)
 
