@@ -5,10 +5,15 @@ from __future__ import annotations
 import os
 import random
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 
 class ChatClient(Protocol):
     def complete(self, messages: list[dict[str, str]], **options) -> str: ...
@@ -67,6 +72,20 @@ class Retrying:
         raise RuntimeError(f"no reply in {self.attempts} attempts") from error
 
 
+def asking(make: Callable[[], object], one: Callable[[object, object], str | None], parallel: int = 1):
+    """A column function that applies ``one(service, value)`` to every value, with one
+    service made per task and ``parallel`` calls at a time; it is never asked twice for a row."""
+
+    @F.pandas_udf(T.StringType())
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        service = make()
+        with ThreadPoolExecutor(parallel) as pool:
+            for values in batches:
+                yield pd.Series(list(pool.map(lambda x: one(service, x), values)), dtype=object)
+
+    return ask.asNondeterministic()
+
+
 def credential(variable: str) -> str:
     """A key from the environment; it is never logged or put in a label."""
     if not (value := os.environ.get(variable)):

@@ -29,13 +29,31 @@ class FilterStage(ABC):
         """One row (value) per value that the histogram counts."""
         return annotated.select(F.col("filter_value").alias("value"))
 
-    def apply(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(kept, removed): the rows are annotated once for both."""
+    def apply(self, df: DataFrame, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(kept, removed): the rows are annotated once for both, in ``store`` if a shared
+        folder is named.  A costly stage without one keeps its rows with the executors
+        until ``released``; what a lost executor held is asked for again."""
         both = self.annotate(df)
-        if self.costly:
-            both = both.persist(StorageLevel.MEMORY_AND_DISK)
+        if store is not None:
+            both.write.mode("overwrite").parquet(store)
+            both = df.sparkSession.read.schema(both.schema).parquet(store)
+        elif self.costly:
+            self._held = both = both.persist(StorageLevel.MEMORY_AND_DISK)
         return both.where(~F.col("removed")), both.where("removed")
 
+    def released(self) -> None:
+        """Lets go of the rows that ``apply`` kept with the executors."""
+        if (held := getattr(self, "_held", None)) is not None:
+            held.unpersist()
+            self._held = None
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once per row, as the only element of an
+    exploded array: the optimizer neither copies the expression to where it is used nor
+    moves a filter on it below."""
+    return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
 
 def tagged(df: DataFrame) -> DataFrame:
     """The stored form: ``split`` is ``removed`` or ``remaining`` in place of the flag."""

@@ -5,20 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..functions.clients import asking
 from ..functions.langid import detect
 from ..functions.qa import realign
 from ..functions.text import literal_list, overlaps, overlaps_arrow, py_strip
-from .base import FilterStage, no_questions
+from .base import FilterStage, no_questions, once
 
 
 def _keep(df: DataFrame, kept: Column, mode: str) -> DataFrame:
     """``df`` with the questions ``kept`` and the answers that belong to them."""
-    return df.withColumn("__kept", kept).withColumn("answers", realign(F.col("questions"), F.col("answers"), F.col("__kept"), mode)).withColumn("questions", F.col("__kept")).drop("__kept")
+    names = df.columns
+    df = once(df, "__kept", kept).withColumn("answers", realign(F.col("questions"), F.col("answers"), F.col("__kept"), mode))
+    return df.withColumn("questions", F.col("__kept")).select(*names)
 
 
 @dataclass
@@ -50,7 +51,7 @@ class NGramOverlap(FilterStage):
 
     def annotate(self, df: DataFrame) -> DataFrame:
         score = overlaps_arrow(self.n)(F.col("text"), F.col("questions")) if self.engine == "arrow" else overlaps(F.col("text"), F.col("questions"), self.n)
-        df = df.withColumn("filter_value", score)
+        df = once(df, "filter_value", score) if self.engine == "sql" else df.withColumn("filter_value", score)
         pairs = F.filter(F.arrays_zip("questions", "filter_value"), lambda x: F.coalesce(x["filter_value"] > self.threshold, F.lit(False)))
         df = _keep(df, F.transform(pairs, lambda x: x["questions"]), self.mode)
         return df.withColumn("removed", no_questions(F.col("questions")))
@@ -62,7 +63,8 @@ class NGramOverlap(FilterStage):
 @dataclass
 class Language(FilterStage):
     """Keeps questions in ``language``; removes rows whose text is in another one (a text
-    that can't be told passes) or that have no such question."""
+    that can't be told passes) or that have no such question.  ``detector`` maps a column to
+    a language: a column expression, or a service with ``each`` for arrays."""
 
     language: str = "hu"
     detector: Callable[[Column], Column] = field(default=detect, repr=False)
@@ -73,10 +75,16 @@ class Language(FilterStage):
         return f"Language(language={self.language})"
 
     def _asked(self, df: DataFrame) -> DataFrame:
-        return _keep(df, F.filter("questions", lambda q: F.coalesce(self.detector(q) == self.language, F.lit(False))), self.mode)
+        right = lambda told: F.coalesce(told == self.language, F.lit(False))
+        if not hasattr(self.detector, "each"):  # a column expression
+            return _keep(df, F.filter("questions", lambda q: right(self.detector(q))), self.mode)
+        names = df.columns
+        df = df.withColumn("__told", self.detector.each(F.col("questions")))
+        pairs = F.filter(F.arrays_zip("questions", "__told"), lambda x: right(x["__told"]))
+        return _keep(df, F.transform(pairs, lambda x: x["questions"]), self.mode).select(*names)
 
     def annotate(self, df: DataFrame) -> DataFrame:
-        df = self._asked(df.withColumn("filter_value", F.coalesce(self.detector(F.col("text")), F.lit(self.language))))
+        df = self._asked(once(df, "filter_value", F.coalesce(self.detector(F.col("text")), F.lit(self.language))))
         return df.withColumn("removed", (F.col("filter_value") != self.language) | no_questions(F.col("questions")))
 
 
@@ -90,7 +98,7 @@ class LanguageOcr(Language):
 
     def annotate(self, df: DataFrame) -> DataFrame:
         told = lambda c: F.coalesce(self.detector(F.col(c)), F.lit("None"))
-        df = self._asked(df.withColumn("filter_value", F.array(told("text"), told("ocr"))))
+        df = self._asked(once(df, "filter_value", F.array(told("text"), told("ocr"))))
         return df.withColumn("removed", ~F.array_contains("filter_value", self.language) | no_questions(F.col("questions")))
 
     def values(self, annotated: DataFrame) -> DataFrame:
@@ -122,14 +130,15 @@ def local_dedup(prompt: str) -> str:
 class DedupQuestions(FilterStage):
     """Drops questions that a language model finds to repeat others.
 
-    ``client`` makes a chat client, once per worker.  Rows with one question or none never
-    reach it.  Replies that are no list, or too long, leave the questions as they are;
+    ``client`` makes a chat client, once per task; it is asked about ``parallel`` rows at a
+    time.  Rows with one question or none never reach it.  Replies that are no list, or too long, leave the questions as they are;
     questions that aren't in the row are dropped.
     """
 
     client: Callable[[], object] = field(repr=False)
     model: str = ""
     mode: str = "compat"
+    parallel: int = 1
     costly = True
 
     def label(self) -> str:
@@ -137,15 +146,12 @@ class DedupQuestions(FilterStage):
 
     def replies(self, df: DataFrame) -> DataFrame:
         """``df`` with ``reply``: null where the model isn't asked."""
-        make = self.client
+        def one(client, questions):
+            if questions is None or len(questions) <= 1:
+                return None
+            return client.complete([{"role": "user", "content": DEDUP_PROMPT.format(questions=str(list(questions)))}], max_tokens=1024, temperature=0)
 
-        @F.pandas_udf(T.StringType())
-        def ask(questions: pd.Series) -> pd.Series:
-            client = make()
-            one = lambda q: client.complete([{"role": "user", "content": DEDUP_PROMPT.format(questions=str(list(q)))}], max_tokens=1024, temperature=0)
-            return pd.Series([None if q is None or len(q) <= 1 else one(q) for q in questions])
-
-        return df.withColumn("reply", ask.asNondeterministic()(F.col("questions")))
+        return df.withColumn("reply", asking(self.client, one, self.parallel)(F.col("questions")))
 
     def decide(self, df: DataFrame) -> DataFrame:
         """From ``reply`` to kept questions, answers, value and decision; no model here."""

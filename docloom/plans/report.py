@@ -32,15 +32,15 @@ def histogram(values: DataFrame, bins: int = BINS) -> DataFrame:
     """(bin, low, n, density) of ``value`` within 1.5 interquartile ranges of the quartiles,
     both ends included; equal bins, the last one closed; all-equal values lie in the middle
     of a range of width 1.  Empty bins have no row; no values give no rows."""
-    v = values.where("value is not null").select(F.col("value").cast("double").alias("v"))
-    box = v.agg(F.percentile("v", F.lit(0.25)).alias("q1"), F.percentile("v", F.lit(0.75)).alias("q3"))
+    v = values.where("value is not null").groupBy(F.col("value").cast("double").alias("v")).agg(F.count("*").alias("k"))  # each value once: scored once
+    box = v.agg(F.percentile("v", F.lit(0.25), F.col("k")).alias("q1"), F.percentile("v", F.lit(0.75), F.col("k")).alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    kept = v.join(F.broadcast(box), (F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach)).select("v")  # one row
-    ends = kept.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("total"))
+    kept = v.join(F.broadcast(box), (F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach)).select("v", "k")  # one row
+    ends = kept.agg(F.min("v").alias("a"), F.max("v").alias("b"), F.sum("k").alias("total"))
     ends = ends.select("total", F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("lo"), F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    binned = kept.join(F.broadcast(ends), F.col("v") >= F.col("lo")).withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))
-    groups = binned.groupBy("bin", "lo", "hi", "total").agg(F.count("*").alias("n"))
+    binned = kept.join(F.broadcast(ends), F.col("v") >= F.col("lo")).withColumn("bin", F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1)).cast("int"))  # one row
+    groups = binned.groupBy("bin", "lo", "hi", "total").agg(F.sum("k").alias("n"))
     return groups.select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), "n", (F.col("n") / (F.col("total") * width)).alias("density"))
 
 
@@ -69,15 +69,6 @@ def displayed(df: DataFrame, value: str | None = None) -> DataFrame:
     return df.select(*columns, *([F.round(value, 4).alias("value")] if value else []))
 
 
-def draw(rows, path: str, label: str) -> bool:
-    """A bar chart of histogram or category rows, if matplotlib is there."""
-    try:
-        from matplotlib import pyplot
-    except ImportError:
-        return False
-    figure, axes = pyplot.subplots()
-    axes.bar([str(x[0]) if isinstance(x[0], str) else x["low"] for x in rows], [x["n"] for x in rows])
-    axes.set_title(label.replace("(", "\n(").replace(",", ",\n"))
-    figure.savefig(path)
-    pyplot.close(figure)
-    return True
+def showable(df: DataFrame) -> DataFrame:
+    """Rows that have all that a sample shows: image, text and a question."""
+    return df.where(F.col("image").isNotNull() & F.col("text").isNotNull() & (F.size("questions") > 0))

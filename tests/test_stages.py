@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions.clients import Retrying, Scripted
-from docloom.functions.langid import detect, learn_profiles
+from docloom.functions.langid import NgramDetector, detect, learn_profiles
 from docloom.functions.text import char_ngrams, literal_list, py_strip
 from docloom.operators.base import tagged
 from docloom.operators.filters import DedupQuestions, Language, LanguageOcr, NGramOverlap, TextLength, local_dedup
@@ -136,6 +136,30 @@ def test_apply_keeps_every_row(made):
     assert {r.split for r in tagged(TextLength().annotate(df)).collect()} == {"removed", "remaining"}
 
 
+def test_apply_stores_or_releases(made, tmp_path):
+    df = made(questions=["What is it?", "what is it"], answers=["1", "2"])
+    for store in (None, f"file://{tmp_path}/rows"):
+        stage = DedupQuestions(lambda: Scripted(local_dedup))
+        kept, gone = stage.apply(df, store)
+        assert kept.first().questions == ["What is it?"] and gone.count() == 0
+        assert kept.storageLevel.useMemory is False and (store is None) == (getattr(stage, "_held", None) is not None)
+        stage.released()
+        assert getattr(stage, "_held", None) is None
+
+
+def test_ngram_detector(spark, made):
+    learned = NgramDetector.learn(spark.createDataFrame([("the then there these", "en"), ("der den des dem", "de"), ("x", None), (None, "fr")], "text string, lang string"), 5)
+    assert set(learned.learned) == {"en", "de"} and learned.learned["en"][0] == " th"
+    one = learned.told()
+    assert [one(x) for x in ("THE", "der", "zzz", "", None, "12 3", "qth the")] == ["en", "de", None, None, None, None, "en"]
+    r = Language("en", learned).annotate(made("the", questions=["then", "der", "?"], answers=["1", "2", "3"])).first()
+    assert (r.filter_value, r.removed, r.questions, r.answers) == ("en", False, ["then"], ["1"])
+    r = LanguageOcr("en", learned).annotate(made("", None, questions=["then"])).first()
+    assert r.filter_value == ["None", "None"] and r.removed
+    assert Language("en", learned).annotate(made("the", questions=None)).first().removed
+    assert NgramDetector({}).told()("the") is None
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([("\x1c  a b\t\n",), ("",), (None,)], "t string")
     assert [r.t for r in df.select(py_strip(F.col("t")).alias("t")).collect()] == ["a b", "", None]
