@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.clients import Scripted
-from .functions.langid import PROFILES, words
+from .functions.langid import PROFILES, TOP, NgramDetector, profiles, words
 from .functions.qa import realign
 from .functions.text import overlaps
 from .operators.filters import DedupQuestions, Language, LanguageOcr, NGramOverlap, TextLength, local_dedup
@@ -100,6 +100,24 @@ def lang_ocr_counts(spark, sf_dir):
     return report.categories(stage.values(stage.annotate(qa_docs(spark, sf_dir))))
 
 
+def _learned(spark, sf_dir) -> NgramDetector:
+    return NgramDetector.learn(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def lang_ngram_kept(spark, sf_dir):
+    """As ``lang_kept``, with the detector by trigram profiles."""
+    return _by_place(Language(LANGUAGE, _learned(spark, sf_dir)).apply(qa_docs(spark, sf_dir))[0], "questions", "question")
+
+
+def lang_ngram_counts(spark, sf_dir):
+    stage = LanguageOcr(LANGUAGE, _learned(spark, sf_dir))
+    return report.categories(stage.values(stage.annotate(qa_docs(spark, sf_dir))))
+
+
+def lang_ngram_profiles(spark, sf_dir):
+    return profiles(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("lang", "gram", "n", "rank")
+
+
 def lang_learned_words(spark, sf_dir):
     """The words that a detector learns from: counts by language."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null")
@@ -175,7 +193,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         qa_docs_shape, text_length_kept, text_length_removed, text_length_histogram, ngram_overlap_per_question, ngram_overlap_expression, ngram_kept_questions, ngram_removed_docs,
-        ngram_histogram, answers_realigned, answers_realigned_strict, qa_length_mismatch, lang_kept, lang_counts, lang_ocr_kept, lang_ocr_counts, lang_learned_words,
+        ngram_histogram, answers_realigned, answers_realigned_strict, qa_length_mismatch, lang_kept, lang_counts, lang_ocr_kept, lang_ocr_counts, lang_ngram_kept, lang_ngram_counts, lang_ngram_profiles, lang_learned_words,
         dedup_post_process, dedup_local, cascade_summary, cascade_final, cascade_final_answers, fewshot_pick, prompt_build, qa_extract, sample_per_split, display_projection,
     )
 }
@@ -185,7 +203,7 @@ QUERIES = {
 _QA = """
 talks AS (
     SELECT conv_id, list(text ORDER BY turn) FILTER (role = 'user') AS asked, list(text ORDER BY turn) FILTER (role = 'assistant') AS told
-    FROM conversations WHERE conv_id BETWEEN 0 AND 19 GROUP BY conv_id),
+    FROM conversations GROUP BY conv_id),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 qa AS (
     SELECT doc_id, text,
@@ -194,7 +212,7 @@ qa AS (
         CASE WHEN doc_id % 7 = 0 THEN [] ELSE [substr(text, 1, 60), substr(text, 101, 60)] END || coalesce(asked, [])
             || CASE WHEN doc_id % 50 = 0 THEN ['a b c'] WHEN doc_id % 5 = 0 THEN [substr(text, 1, 60)] ELSE [] END AS questions,
         ['first answer', 'second answer'] || coalesce(told, []) AS answers
-    FROM docs LEFT JOIN talks ON doc_id % 20 = conv_id),
+    FROM docs LEFT JOIN talks ON doc_id % (SELECT coalesce(max(conv_id) + 1, 1) FROM conversations) = conv_id),
 qs AS (SELECT doc_id, unnest(questions) AS question, generate_subscripts(questions, 1) - 1 AS pos FROM qa),
 ans AS (SELECT doc_id, unnest(answers) AS answer, generate_subscripts(answers, 1) - 1 AS pos FROM qa),
 known AS (SELECT doc_id, question, arg_max(answer, pos) AS answer FROM qs JOIN ans USING (doc_id, pos) GROUP BY doc_id, question)"""
@@ -236,6 +254,22 @@ _LANG = f"""
 tl AS (SELECT doc_id, {_detect('text', repr(LANGUAGE))} AS lang, {_detect('text', "'None'")} AS told, {_detect('ocr', "'None'")} AS ocr_told FROM qa),
 ql AS (SELECT question, {_detect('question', "'?'")} AS lang FROM (SELECT DISTINCT question FROM qs))"""
 
+def _trigrams(text: str) -> str:
+    padded = f"string_split(' ' || trim(regexp_replace(lower({text}), '[^\\p{{L}}]+', ' ', 'g')) || ' ', '')"
+    return f"(SELECT list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2]) FROM (SELECT {padded} AS c))"
+
+
+_PROFILES = f"""
+counted AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_trigrams('text')}) AS gram FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL) GROUP BY lang, gram),
+profile AS (SELECT lang, gram, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) - 1 AS rank FROM counted) WHERE rank < {TOP}),
+named AS (SELECT lang, gram, count(*) OVER (PARTITION BY lang) - rank AS weight FROM profile)"""
+
+_NGRAM_LANG = f"""
+{_PROFILES},
+said AS (SELECT DISTINCT text AS s FROM qa UNION SELECT DISTINCT ocr FROM qa UNION SELECT DISTINCT question FROM qs),
+scored AS (SELECT s, lang, sum(weight) AS score FROM (SELECT s, unnest({_trigrams('s')}) AS gram FROM said) JOIN named USING (gram) GROUP BY s, lang),
+best AS (SELECT s, arg_min(lang, (-score, lang)) AS lang FROM scored GROUP BY s)"""
+
 _CASCADE = f"""
 {_QA}, {_OVERLAP}, {_LANG},
 s0 AS (SELECT doc_id, dataset_split, 0 AS stage FROM qa),
@@ -268,6 +302,12 @@ ORACLE_SQL = {
     "lang_counts": f"WITH {_QA}, {_LANG} SELECT lang AS value, count(*) AS n FROM tl GROUP BY lang",
     "lang_ocr_kept": f"WITH {_QA}, {_LANG} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos, question FROM qs JOIN ql USING (question) JOIN tl USING (doc_id) WHERE ql.lang = '{LANGUAGE}' AND '{LANGUAGE}' IN (tl.told, tl.ocr_told)",
     "lang_ocr_counts": f"WITH {_QA}, {_LANG} SELECT value, count(*) AS n FROM (SELECT told AS value FROM tl UNION ALL SELECT ocr_told FROM tl) GROUP BY value",
+    "lang_ngram_kept": f"""WITH {_QA}, {_NGRAM_LANG}
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS pos, question
+        FROM qs JOIN best q ON q.s = question JOIN qa USING (doc_id) LEFT JOIN best t ON t.s = text WHERE q.lang = '{LANGUAGE}' AND coalesce(t.lang, '{LANGUAGE}') = '{LANGUAGE}'""",
+    "lang_ngram_counts": f"""WITH {_QA}, {_NGRAM_LANG}
+        SELECT coalesce(lang, 'None') AS value, count(*) AS n FROM (SELECT text AS s FROM qa UNION ALL SELECT ocr FROM qa) LEFT JOIN best USING (s) GROUP BY 1""",
+    "lang_ngram_profiles": f"WITH {_PROFILES} SELECT lang, gram, n, rank::INT AS rank FROM profile",
     "lang_learned_words": f"""SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM documents WHERE lang IS NOT NULL)
         WHERE word IN ({', '.join(repr(w) for w in sorted({w for p in PROFILES.values() for w in p}))}) GROUP BY lang, word""",
     "dedup_post_process": f"""WITH {_QA},

@@ -29,14 +29,15 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def qa_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Question-answer documents derived from ``documents`` and ``conversations``."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    said = spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("conv_id").between(0, 19))
+    said = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    many = said.agg(F.coalesce(F.max("conv_id") + 1, F.lit(1))).scalar()  # conversations are numbered from 0
 
     def turns(role: str):
         own = F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))
         return F.transform(F.array_sort(own), lambda x: x["text"])
 
     talks = said.groupBy("conv_id").agg(turns("user").alias("asked"), turns("assistant").alias("told"))
-    joined = docs.join(F.broadcast(talks), F.pmod("doc_id", F.lit(20)) == F.col("conv_id"), "left")  # 20 rows at most
+    joined = docs.withColumn("own", F.pmod("doc_id", many)).join(talks, F.col("own") == F.col("conv_id"), "left")
     d, text, none = F.col("doc_id"), F.col("text"), F.array().cast(STRINGS)
     first = F.substring("text", 1, 60)
     return joined.select(
