@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.clients import asking
 
 ATTEMPTS, SEED = 4, 42
 # The labels that prompts and replies carry.
@@ -74,31 +74,36 @@ def with_ocr(df: DataFrame, provider: Callable[[], object]) -> DataFrame:
     """Adds ``ocr`` from ``image`` if the table has no such column; nulls in one stay."""
     if "ocr" in df.columns:
         return df
+    return df.withColumn("ocr", asking(provider, lambda own, image: own.read(image))(F.col("image")))
 
-    @F.pandas_udf(T.StringType())
-    def read(images: pd.Series) -> pd.Series:
-        own = provider()
-        return images.map(own.read)
-
-    return df.withColumn("ocr", read.asNondeterministic()(F.col("image")))
 
-
-def generate(df: DataFrame, client: Callable[[], object], n: int = ATTEMPTS, seed: int = SEED, examples=EXAMPLES) -> DataFrame:
+def generate(df: DataFrame, client: Callable[[], object], n: int = ATTEMPTS, seed: int = SEED, examples=EXAMPLES, ocr: Callable[[], object] | None = None, store: str | None = None, parallel: int = 1) -> DataFrame:
     """(doc_id, dataset_split, questions, answers) of documents with at least one pair;
-    failed attempts are left out.  Join text and image back by doc_id."""
-
-    @F.pandas_udf(T.StringType())
-    def ask(asked: pd.Series) -> pd.Series:
-        own = client()
-
-        def one(prompt):
-            try:
-                return own.complete([{"role": "system", "content": SYSTEM}, {"role": "user", "content": prompt}], temperature=0.7)
-            except Exception:  # noqa: BLE001  an attempt that fails is skipped
-                return None
-
-        return asked.map(one)
-
-    rows = prompts(attempts(df.select("doc_id", "dataset_split", "text", "ocr"), n), pick(seed, len(examples)), examples)
-    replied = rows.where("prompt is not null").select("doc_id", "dataset_split", "attempt", ask.asNondeterministic()(F.col("prompt")).alias("reply"))
-    return collected(replied, ["doc_id", "dataset_split"])
+    failed attempts are left out.  Join text and image back by doc_id.
+
+    A table without ``ocr`` needs a provider.  With ``store``, a folder that all executors
+    share, OCR and replies are written there and read again, so that no later step and no
+    lost executor has a service asked again for what is written.
+    """
+    if "ocr" not in df.columns:
+        if ocr is None:
+            raise ValueError("the table has no ocr column: name an OCR provider")
+        df = with_ocr(df.select("doc_id", "dataset_split", "text", "image"), ocr)
+    spark = df.sparkSession
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        if store is None:
+            return rows
+        rows.write.mode("overwrite").parquet(f"{store}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{store}/{name}")
+
+    def one(own, prompt):
+        try:
+            return own.complete([{"role": "system", "content": SYSTEM}, {"role": "user", "content": prompt}], temperature=0.7)
+        except Exception:  # noqa: BLE001  an attempt that fails is skipped
+            return None
+
+    docs = kept(df.select("doc_id", "dataset_split", "text", "ocr"), "ocr")
+    rows = prompts(attempts(docs, n), pick(seed, len(examples)), examples)
+    replied = rows.where("prompt is not null").select("doc_id", "dataset_split", "attempt", asking(client, one, parallel)(F.col("prompt")).alias("reply"))
+    return collected(kept(replied, "replies"), ["doc_id", "dataset_split"])

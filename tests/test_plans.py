@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from xml.etree import ElementTree
 
 import pyarrow as pa
 import pytest
@@ -21,9 +22,15 @@ def stages():
     return [TextLength(), NGramOverlap(), Language("en"), DedupQuestions(lambda: Scripted(local_dedup))]
 
 
+class Upper:
+    def translate(self, text):
+        return text.upper()
+
+
 def test_cascade(spark, sf_dir, tmp_path):
     docs = qa_docs(spark, sf_dir)
-    final, told = cascade.Cascade(stages(), f"file://{tmp_path}/out", "subsample", 3).run(docs)
+    docs = docs.withColumn("image", F.when(F.col("doc_id") % 2 == 0, F.lit(b"\x89PNG").cast("binary")))
+    final, told = cascade.Cascade(stages(), f"file://{tmp_path}/out", "subsample", 3, "file:///elsewhere", lambda: Upper()).run(docs)
     rows = told.orderBy("stage").collect()
     assert [r.label for r in rows][:2] == ["Original", "TextLength(min_length=60)"]
     for before, after in zip(rows, rows[1:]):
@@ -33,6 +40,36 @@ def test_cascade(spark, sf_dir, tmp_path):
     assert {r.split for r in final.select("split").collect()} == {"remaining"} and final.count() == rows[-1].n_rows
     part = read_dataset(spark, f"file://{tmp_path}/out/intermediate/{rows[1].label}_1_remaining_subsample")
     assert all(r["count"] <= 3 for r in part.groupBy("dataset_split").count().collect())
+    made = {str(p.relative_to(tmp_path / "out")): ElementTree.parse(p).getroot() for p in (tmp_path / "out").rglob("*.svg")}
+    name = f"intermediate/{rows[1].label}_1"
+    assert {"filtering_process.svg", "filtering_summary_table.svg", f"{name}_histogram.svg", f"{name}_remaining_samples.svg"} <= made.keys()
+    cards = "".join(made[f"{name}_remaining_samples.svg"].itertext())
+    assert cards.count("Question: ") == 3 and "Question, translated: " in cards and "Value: " in cards
+    assert all(r.label.partition("(")[0] in "".join(made["filtering_process.svg"].itertext()) for r in rows)
+    with pytest.raises(ValueError, match="overlaps"):
+        cascade.Cascade(stages(), f"{tmp_path}/in/out", source=f"{tmp_path}/in").run(docs)
+
+
+def test_summary_runs_every_stage_once(spark, sf_dir):
+    """One scan of each table, one Python evaluation, also of what is kept."""
+    docs = qa_docs(spark, sf_dir)
+    for df in (cascade.summary(docs, stages()[:3]), cascade.chained(docs, stages()[:3])[-1].where(~F.col("removed"))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("documents.parquet") + plan.count("doc_id#") >= 1
+        physical = df._jdf.queryExecution().executedPlan().toString()
+        assert physical.count("ArrowEvalPython") == 1 and physical.split("Subqueries")[0].count("FileScan") <= 3
+
+
+def test_no_service_for_removed_rows(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def count(_):
+        asked.add(1)
+        return "['a', 'b']"
+
+    rows = [(1, "train", None, "x" * 80, "", ["a", "b"], ["1", "2"]), (2, "train", None, "short", "", ["a", "b"], ["1", "2"])]
+    told = cascade.summary(spark.createDataFrame(rows, QA), [TextLength(), DedupQuestions(lambda: Scripted(count), parallel=3), TextLength(100)]).orderBy("stage").collect()
+    assert [(r.n_rows, r.n_questions) for r in told] == [(2, 4), (1, 2), (1, 2), (0, 0)] and asked.value == 1
 
 
 def test_cascade_of_nothing(spark, tmp_path):
@@ -75,6 +112,22 @@ def test_generation(spark):
     assert generate.with_ocr(docs, None) is docs
     ocr = generate.with_ocr(docs.drop("ocr"), lambda: type("O", (), {"read": staticmethod(lambda image: "read")})).first().ocr
     assert ocr == "read"
+    with pytest.raises(ValueError, match="OCR"):
+        generate.generate(docs.drop("ocr"), lambda: Scripted(answer))
+
+
+def test_generation_asks_once(spark, tmp_path):
+    """Replies are stored: whatever is done with the pairs asks no service again."""
+    asked = spark.sparkContext.accumulator(0)
+
+    def answer(prompt):
+        asked.add(1)
+        return "Kérdés: k\nVálasz: v"
+
+    docs = spark.createDataFrame([(1, "train", b"i", "szöveg")], "doc_id long, dataset_split string, image binary, text string")
+    reader = type("O", (), {"read": staticmethod(lambda image: "ocr")})
+    pairs = generate.generate(docs, lambda: Scripted(answer), ocr=lambda: reader, store=f"file://{tmp_path}/store", parallel=2)
+    assert pairs.first().questions == ["k"] * 4 and pairs.count() == 1 and asked.value == 4
 
 
 def test_prompt(spark):
@@ -109,6 +162,52 @@ def test_stream(spark, sf_dir, tmp_path):
     assert sorted(r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(r.doc_id for r in want.collect())
 
 
+def arrow_dataset(folder, rows):
+    (folder / "train").mkdir(parents=True)
+    (folder / "dataset_dict.json").write_text(json.dumps({"splits": ["train"]}))
+    for k in range(0, len(rows), 2):
+        table = pa.Table.from_pylist(rows[k : k + 2])
+        with pa.OSFile(str(folder / f"train/data-{k}.arrow"), "wb") as f, pa.ipc.new_stream(f, table.schema) as w:
+            w.write_table(table, max_chunksize=1)
+
+
+SERVICES = """
+from docloom.functions.clients import Scripted
+from docloom.operators.filters import local_dedup
+
+
+def client(key, model):
+    return Scripted(lambda prompt: "Kérdés: mi?\\nVálasz: ez" if "Szöveg" in prompt else local_dedup(prompt))
+
+
+class Reader:
+    def __init__(self, data):
+        self.data = data
+
+    def read(self, image):
+        return f"{self.data}:{len(image)}"
+"""
+
+
+def test_commands(spark, tmp_path, monkeypatch):
+    """Both commands on a directory of Arrow streams without ids and OCR."""
+    monkeypatch.setenv("OPENAI_API_KEY", "k")
+    long = "the quick brown fox jumps over the lazy dog and it is on the way to the river"
+    arrow_dataset(tmp_path / "raw", [{"image": {"bytes": b"abc", "path": None}, "text": f"{long} {k}"} for k in range(3)])
+    (tmp_path / "services_of_a_test.py").write_text(SERVICES)
+    spark.sparkContext.addPyFile(str(tmp_path / "services_of_a_test.py"))
+    cli.main(["generate", "--input-dataset-path", f"{tmp_path}/raw", "--output-path", f"{tmp_path}/made", "--client", "services_of_a_test:client", "--ocr", "services_of_a_test:Reader", "--ocr-data", "tess"])
+    made = spark.read.parquet(f"{tmp_path}/made").collect()
+    assert {(r.ocr, tuple(r.questions), r.dataset_split) for r in made} == {("tess:3", ("mi?",) * 4, "train")} and len({r.doc_id for r in made}) == 3
+    with pytest.raises(SystemExit):
+        cli.main(["clean", "--dataset_path", f"{tmp_path}/made", "--output_dir", f"{tmp_path}/out"])
+    with pytest.raises(ValueError, match="overlaps"):
+        cli.main(["clean", "--local_dedup", "--dataset_path", f"{tmp_path}/made", "--output_dir", f"{tmp_path}/made"])
+    cli.main(["clean", "--local_dedup", "--dataset_path", f"{tmp_path}/made", "--output_dir", f"{tmp_path}/out", "--language", "en"])
+    assert [(r.stage, r.n_rows) for r in spark.read.parquet(f"{tmp_path}/out/summary").orderBy("stage").collect()][0] == (0, 3)
+    assert (tmp_path / "out/filtering_process.svg").exists()
+
+
 def test_command_line():
     args = cli.parser().parse_args(["clean", "--dataset_path", "a", "--output_dir", "b"])
     assert (args.save_intermediate, args.subsample_size, args.model) == ("subsample", 10, "Meta-Llama-3.1-8B-Instruct")
