@@ -36,25 +36,33 @@ _record = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload",
 _NOT_IN_HEADERS = re.compile(r"[\x00-\x20\x7F-\x9F]")
 
 
-def _name(page_id: int | None) -> str:
-    return f"<urn:x-page:{'' if page_id is None else page_id}>"
+def _framed(kind: str, name: str, date: str, fields: list[str], content: str, block: bytes) -> bytes:
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date}", *fields, f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def information(name: str, date: str) -> bytes:
+    """The record that opens a file."""
+    return _framed("warcinfo", name, date, [], "application/warc-fields", b"software: docloom\r\nformat: WARC File Format 1.1\r\n")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str) -> bytes:
-    """One record, not compressed.  Control characters of URLs are percent-encoded."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str, name: str) -> bytes:
+    """One record, not compressed.  Control characters of URLs are percent-encoded.  The
+    page and the page that a revisit refers to have fields of their own, as page_ids may
+    repeat or be null and record ids must not."""
     digest = hashlib.sha1(payload).digest()
     url = _NOT_IN_HEADERS.sub(lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
+    fields = [f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}"]
+    if page_id is not None:
+        fields.append(f"WARC-Page-ID: {page_id}")
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_name(refers_to)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        fields += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {date}", f"WARC-Refers-To-Page-ID: {refers_to}"]
+    return _framed("revisit" if revisit else "response", name, date, fields, "application/http;msgtype=response", http if revisit else http + payload)
 
 
-def _page(name: str | None) -> int | None:
-    own = (name or "").removeprefix("<urn:x-page:").removesuffix(">")
-    return int(own) if own else None
+def _page(own: str | None) -> int | None:
+    return None if own is None else int(own)
 
 
 def parse(data: bytes) -> tuple:
@@ -67,15 +75,21 @@ def parse(data: bytes) -> tuple:
     digest, kind = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(), fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']} is damaged")
-    return _page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], payload if kind == "response" else None, size, digest, kind, _page(fields.get("WARC-Refers-To"))
+    return _page(fields.get("WARC-Page-ID")), fields["WARC-Target-URI"], payload if kind == "response" else None, size, digest, kind, _page(fields.get("WARC-Refers-To-Page-ID"))
 
 
 class Archive:
     """An archive file that is being written."""
 
-    def __init__(self, folder: str):
-        self.uri, self.at = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+    def __init__(self, folder: str, level: int, date: str):
+        self.id, self.at = uuid.uuid4(), 0
+        self.uri = f"{folder}/{self.id.hex}.warc.gz"
         self.out = create(self.uri)
+        self.add(information(self.name(), date), level)
+
+    def name(self) -> str:
+        """The next record's id, of its file and place."""
+        return f"<urn:uuid:{uuid.uuid5(self.id, str(self.at))}>"
 
     def add(self, data: bytes, level: int) -> tuple[int, int]:
         zipped = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -112,8 +126,8 @@ def write_archives(pages: DataFrame, folder: str, level: int = 4, date: str = "2
                 if archive is None or archive.at > FILE_BYTES:
                     if archive:
                         archive.out.close()
-                    archive = Archive(folder)
-                place = archive.add(record(page, url, payload, target, revisit, date), level)
+                    archive = Archive(folder, level, date)
+                place = archive.add(record(page, url, payload, target, revisit, date, archive.name()), level)
                 for x, v in zip(out, (page, url, hashlib.sha1(payload).hexdigest(), "revisit" if revisit else "response", archive.uri, *place)):
                     x.append(v)
             yield batch_of(_index, out)

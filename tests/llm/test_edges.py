@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gzip
 import random
+import re
 from types import SimpleNamespace
 
 import numpy as np
@@ -118,6 +120,11 @@ def test_warc(spark):
     assert found == sorted([(1, "revisit", 2, 2000), (2, "response", None, 2000), (2, "response", None, 2000), (3, "response", None, 2001), (4, "response", None, 0), (5, "response", None, 0), (0, "response", None, 2000)], key=repr)
     one = warc.read_records(index.where("page_id = 3")).collect()
     assert len(one) == 1 and one[0].payload.decode() == big + "y"
+    heads = []
+    for (uri,) in index.select("file").distinct().collect():
+        with gzip.open(uri.removeprefix("file://")) as file:
+            heads += re.findall(rb"WARC-Type: (\w+)\r\nWARC-Record-ID: (\S+)", file.read())
+    assert len({name for _, name in heads}) == len(heads) and {kind for kind, _ in heads} == {b"warcinfo", b"response", b"revisit"}
     assert warc.read_records(warc.write_archives(df.where("false"), common.scratch(spark, "warc"))).count() == 0
 
 
