@@ -15,13 +15,14 @@ further words go to the library in each batch.
 from __future__ import annotations
 
 import os
+import re
 import string
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MEMO = 500_000
+MEMO = 200_000
 #: Most words of a corpus occur once: a word is remembered when it, or another one with
 #: the same place among so many, has come before.
 SEEN = (1 << 23) - 1
@@ -34,7 +35,8 @@ PART_CHARS = 4 << 20
 _UNSAFE = ("  ", " \n", "\n ", "\n\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 #: A word with this sign before it has no space before it in the text.
 _BARE = "\r"
-_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalnum())
+#: A letter or digit, the marks after it, and the end of the word.
+_ENDS = f"([{''.join(c for c in map(chr, range(0x250)) if c.isalnum())}])([{re.escape(string.punctuation)}]+)( |$)"
 
 
 def default_path() -> str:
@@ -58,7 +60,7 @@ class Encoder:
         self.end = np.array([end_id], "<u4").tobytes()
         self.opens = np.zeros(max(words.values(), default=0) + 1, bool)
         self.opens[[i for x, i in words.items() if x.startswith("Ġ")]] = True  # the sign for a space
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {_BARE: b"", "\n": np.array([self.line or 0], "<u4").tobytes()}
         self.seen = bytearray(SEEN + 1)
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -80,46 +82,32 @@ class Encoder:
 
     def _values(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words: a word follows a space, ``_BARE`` and a word nothing,
-        and a line break and a word stand for themselves."""
+        and a line break stands for itself."""
         memo, seen = self.memo, self.seen
         out = list(map(memo.get, words))
-        missing = [at for at, ids in enumerate(out) if ids is None]
-        cores, ends = [], []
-        for at in missing:
-            word = words[at]
-            core = word.rstrip(string.punctuation)
-            if core == word or core[-1:] not in _LETTERS:
-                core, end = word, ""
-            else:
-                end = _BARE + word[len(core) :]
-            cores.append(_BARE + core[1:] if core[:1] == "\n" else core)
-            ends.append(end)
-        new = {_BARE: b"", "": b""}
-        wanted = {*cores, *ends} - new.keys()
-        for x in wanted & memo.keys():
-            new[x] = memo[x]
-        wanted -= new.keys()
-        spaced, bare = [x for x in wanted if x[0] != _BARE], [x for x in wanted if x[0] == _BARE]
-        new.update(zip(spaced, self._together(spaced, True)))
-        new.update(zip(bare, self._together([x[1:] for x in bare], False)))
-        line = np.array([self.line], "<u4").tobytes()
-        for at, core, end in zip(missing, cores, ends):
-            ids = new[core] + new[end] if end else new[core]
-            out[at] = line + ids if words[at][:1] == "\n" else ids
-        for x in wanted:
-            if len(memo) >= MEMO:
-                break
-            k = hash(x) & SEEN
-            if seen[k] or len(memo) < MEMO // 2:
-                memo[x] = new[x]
-            seen[k] = 1
+        spaced, bare = [], []
+        for at, ids in enumerate(out):
+            if ids is None:
+                (bare if words[at][:1] == _BARE else spaced).append(at)
+        for places, by_space in ((spaced, True), (bare, False)):
+            own = [words[at] for at in places]
+            for at, x, ids in zip(places, own, self._together(own if by_space else [x[1:] for x in own], by_space)):
+                out[at] = ids
+                if len(memo) < MEMO:
+                    k = hash(x) & SEEN
+                    if seen[k] or len(memo) < MEMO // 2:
+                        memo[x] = ids
+                    seen[k] = 1
         return out
 
     def _cut(self, texts: list[str]) -> list[bytes]:
         """The ids of texts that may be cut."""
-        lists = pc.split_pattern(pa.array([_BARE + x.replace("\n", " \n") for x in texts], pa.large_string()), " ")
+        data = pa.array([_BARE + x.replace("\n", f" \n {_BARE}") for x in texts], pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring_regex(data, _ENDS, rf"\1 {_BARE}\2\3"), " ")
         coded = lists.values.dictionary_encode()
-        values, which = self._values(coded.dictionary.to_pylist()), coded.indices.to_numpy()
+        # the words hold no space: one string that is split again is faster than a list
+        every = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        values, which = self._values(pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")), coded.indices.to_numpy()
         ids = np.frombuffer(b"".join(values), "<u4")
         sizes = np.fromiter(map(len, values), np.int32, len(values)) >> 2
         first, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
