@@ -46,6 +46,29 @@ ORACLE_SQL = {
             CASE WHEN payload_bytes >= 1000 AND page_id < target THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN payload_bytes >= 1000 AND page_id < target THEN target END AS refers_to
         FROM t""",
+    # crc32 of the id's digits: a step of 256 + byte, then eight shifts; all labelled rows that
+    # aren't held out are learned from, as they are where no language has more than LEARN
+    "op4_language_id": rf"""
+        WITH d AS (
+            SELECT doc_id, lang, string_split(' ' || trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}]+', ' ', 'g')) || ' ', '') AS c,
+                xor(list_reduce([4294967295] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END), 4294967295) % 4 = 2 AS held_out
+            FROM documents),
+        g AS (
+            SELECT doc_id, gram, count(*) AS n FROM (
+                SELECT doc_id, unnest(list_filter(c, lambda x: x <> ' ')) AS gram FROM d
+                UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])) FROM d WHERE len(c) > 2
+                UNION ALL SELECT doc_id, unnest(list_transform(list_filter(range(1, len(c) - 1), lambda i: c[i + 1] <> ' '), lambda i: c[i] || c[i + 1] || c[i + 2])) FROM d)
+            GROUP BY ALL),
+        own AS (SELECT doc_id, gram, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(gram), gram) - 1 AS k FROM g QUALIFY k < {language.TOP}),
+        sums AS (SELECT lang, gram, sum(n) AS n FROM g JOIN d USING (doc_id) WHERE lang IS NOT NULL AND NOT held_out GROUP BY ALL),
+        profile AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, length(gram), gram) - 1 AS rank FROM sums QUALIFY rank < {language.TOP}),
+        far AS (
+            SELECT doc_id, l.lang, count(*) AS size, sum(coalesce(least(abs(rank - k), {language.TOP}), {language.TOP}))::BIGINT AS apart
+            FROM own CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN profile p ON p.lang = l.lang AND p.gram = own.gram GROUP BY ALL),
+        best AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY apart, lang) = 1)
+        SELECT doc_id, held_out, coalesce(best.lang, '{language.UNKNOWN}') AS lang_pred, coalesce(1 - apart::DOUBLE / ({language.TOP} * size), 0) AS score
+        FROM d LEFT JOIN best USING (doc_id)""",
     "op10_winnowing": r"""
         WITH dw AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
