@@ -5,8 +5,9 @@ Each line has a ratio of characters to tags; lines of elements that are never co
 (menus, forms, adverts by their class, ...) have ratio 0.  The ratios are smoothed by a
 Gaussian along the page and parted into two clusters at their standard deviation.  The
 upper cluster selects the region: sections that hold a line of it, with all their lines,
-and what lies between two such lines.  Tags like ``article`` only break a tie: where the
-cluster has lines in and out of articles, the side with more characters stays.
+and what lies between two such lines.  Tags like ``article`` only break ties: where the
+cluster has lines in and out of articles, the side with more characters stays, and short
+sections stay in an article whose section is chosen.
 """
 
 from __future__ import annotations
@@ -172,7 +173,9 @@ def region(lines: list[Line], content: np.ndarray) -> np.ndarray:
             sums[0] += len(x.text)
             sums[1] += x.linked
     plain = {n for n, (every, linked) in links.items() if 2 * linked < every}
-    kept = np.array([x.alive and n in chosen and (not x.lists or n in plain) for x, n in zip(lines, own)], bool) | content
+    # a section of short lines in a chosen section is in doubt: inside of an article it stays
+    held = [n in chosen or x.article and x.path[-2:-1] and x.path[-2] in chosen for x, n in zip(lines, own)]
+    kept = np.array([x.alive and h and (not x.lists or n in plain) for x, n, h in zip(lines, own, held)], bool) | content
     # what lies between two kept lines of a section that holds both
     before = np.maximum.accumulate(np.where(kept, np.arange(len(kept)), -1))
     after = np.minimum.accumulate(np.where(kept, np.arange(len(kept)), len(kept))[::-1])[::-1]

@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import tokens
 from .common import batch_of, create, filesystem, scratch, slices, stored, texts

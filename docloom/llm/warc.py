@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, create, filesystem, scratch, slices, stored, texts
+from .common import batch_of, create, filesystem, scratch, slices, stored
 from .skew import with_totals
 
 #: Payloads below this many bytes are never revisits.

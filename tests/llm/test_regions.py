@@ -31,6 +31,8 @@ def test_between_and_lists():
     text = "words of a paragraph that is long enough to be content " * 3
     page = f"<body><div><p>{text}</p><div>Yes.</div><p>{text}</p><ul><li>one thing</li><li>two</li></ul></div><div>short</div></body>"
     assert html_text.main_text(page) == " ".join(f"{text}Yes. {text}one thing two".split())
+    page = f"<body><div>short</div><article><p>{text}</p><div>Yours, A.</div></article><div>short</div></body>"
+    assert html_text.main_text(page) == " ".join(f"{text}Yours, A.".split())
 
 
 @pytest.fixture(scope="module")
