@@ -85,11 +85,6 @@ def literal_list(reply: pd.Series) -> pd.Series:
     return reply.map(parse).astype(object).where(lambda s: s.notna(), None)
 
 
-def wrap_label(label: Column) -> Column:
-    """Line breaks before ``(`` and after ``,``."""
-    return F.regexp_replace(F.regexp_replace(label, r"\(", "\n("), ",", ",\n")
-
-
 def display(text: Column, size: int = 100) -> Column:
     """The first ``size`` code points, with ``$`` spelled out."""
     return F.replace(F.substring(text, 1, size), F.lit("$"), F.lit("[DOLLAR]"))
