@@ -14,9 +14,10 @@ they collide if they agree in one of ``BANDS`` bands of ``ROWS`` MinHash values
 0.8 that finds 9968 of 10000), and are classes by Jaccard over all their five-word shingles
 (as 32-bit hashes) and connected components.  Colliding lines are dealt by band and salt.  In a salt
 a line that has a representative there is linked to it, other lines become representatives;
-those of a band are then compared pair by pair, in blocks.  What that may miss is a link
-between two lines of which one is near another representative of its salt, but its
-partner is not.  Lines don't overlap, so nothing links passages step by step.
+those of a band are then compared pair by pair, in blocks.  The links so far give classes.
+Lines that collide and are in different classes are then compared too, whether they are
+representatives or not, so that no link of a colliding pair is lost between classes.  Lines
+don't overlap, so nothing links passages step by step.
 
 Of equal windows and of linked lines, those of the smallest doc_id stay and the others are
 removed.  No key gathers in one task: anchors and bands that a sample shows to be frequent
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of, discard, slices, stored, texts
 from .components import components
-from .skew import SALTS, with_totals
+from .skew import SALTS, join_one, with_totals
 
 SHINGLE, SIZE, GRAM, BANDS, ROWS, SIMILAR = 5, 25, 13, 8, 3, 0.8
 SIDE = SIZE - GRAM  # words beside an anchor, at each side
@@ -402,13 +403,14 @@ def _shingle_sets(batches):
         yield batch_of(_sets, out)
 
 
-def link_group(sets, block=None) -> np.ndarray:
+def link_group(sets, block=None, root=None, told=None) -> np.ndarray:
     """For arrays of shingles: the first one of each one's group under exact Jaccard of
-    at least ``SIMILAR``.  A pair is compared unless it is linked already; with ``block``
-    only pairs of different blocks are."""
+    at least ``SIMILAR``.  A pair is compared unless it is linked already (``root``: the
+    groups at the start); with ``block`` only pairs of different blocks are, and with
+    ``told`` only pairs that are not both in it."""
     sets = [np.unique(x) for x in sets]
     sizes = np.array([len(x) for x in sets])
-    starts, root = np.cumsum(sizes) - sizes, np.arange(len(sets))
+    starts, root = np.cumsum(sizes) - sizes, np.arange(len(sets)) if root is None else root.copy()
     names, which = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(names), np.int64)
     for i in range(len(sets)):
@@ -416,12 +418,18 @@ def link_group(sets, block=None) -> np.ndarray:
         others[:i] = False
         if block is not None:
             others &= block != block[i]
-        if others.any():
+        if told is not None and told[i]:
+            others &= ~told
+        others &= np.minimum(sizes, sizes[i]) >= SIMILAR * np.maximum(sizes, sizes[i])
+        at = np.flatnonzero(others)
+        if len(at):
+            n = sizes[at]
+            first = np.cumsum(n) - n
             own = which[starts[i] : starts[i] + sizes[i]]
             mark[own] = 1
-            both = np.add.reduceat(mark[which], starts)
+            both = np.add.reduceat(mark[which[np.repeat(starts[at] - first, n) + np.arange(n.sum())]], first)
             mark[own] = 0
-            near = np.flatnonzero(others & (both >= SIMILAR * (sizes + sizes[i] - both)))
+            near = at[both >= SIMILAR * (n + sizes[i] - both)]
             if len(near):
                 joined = np.isin(root, np.r_[root[near], root[i]])
                 root[joined] = root[joined].min()
@@ -432,7 +440,8 @@ def _represent(batches):
     """Streams rows (key, salt, content, shingles) sorted by the first three.  Emits a link
     for a content that is near a representative of its key and salt, and the others as
     representatives.  Of those ``LEADERS`` are held; the next ones start anew, which
-    loses no link, as all representatives of a key are compared afterwards."""
+    loses no link, as all representatives of a key are compared afterwards.  So are linked
+    contents with those of other classes (``_apart``): they keep their shingles."""
     group, leaders, out = None, [], [[], [], [], [], []]
 
     def told():
@@ -454,7 +463,7 @@ def _represent(batches):
                     break
             if near is None:
                 leaders.append((name, own))
-            row = (LEADER, at[0], name, name, shingles) if near is None else (LINK, at[0], name, near, b"")
+            row = (LEADER, at[0], name, name, shingles) if near is None else (LINK, at[0], name, near, shingles)
             for x, v in zip(out, row):
                 x.append(v)
         if len(out[0]) >= 1000:
@@ -463,11 +472,17 @@ def _represent(batches):
 
 
 def _compare(batches):
-    """Streams rows (key, i, j, block, content, shingles) sorted by these; emits links
-    within a block (i = j) or between two."""
-    group, block, own = None, [], {}
+    """Streams rows (key, i, j, block, content, component, told, shingles) sorted by the
+    first five; emits links within a block (i = j) or between two.  Contents of one
+    component are linked already, and those told were compared with each other."""
+    group, rows, own = None, [], {}
 
     def links():
+        block, component, told = (np.array(x) for x in zip(*rows))
+        _, first, which = np.unique(component, return_index=True, return_inverse=True)
+        before = first[which]
+        if len(first) == 1 or told.all():
+            return batch_of(_edges, [[], []])
         sets = [np.frombuffer(x, np.uint32) for x in own.values()]
         if len(sets) == 2:
             both = len(frozenset(sets[0].tolist()) & frozenset(sets[1].tolist()))
@@ -475,19 +490,19 @@ def _compare(batches):
                 return batch_of(_edges, [[], []])
             return batch_of(_edges, [[x] for x in own])
         names = np.array(list(own), np.int64)
-        root = link_group(sets, np.array(block) if group[1] != group[2] else None)
-        at = np.flatnonzero(root != np.arange(len(root)))
+        root = link_group(sets, block if group[1] != group[2] else None, before, told)
+        at = np.flatnonzero((root != before) & (before == np.arange(len(root))))
         return batch_of(_edges, [names[root[at]], names[at]])
 
     for batch in batches:
-        for *at, part, name, shingles in zip(*(batch.column(f).to_pylist() for f in ("key", "i", "j", "block", "content", "shingles"))):
+        for *at, part, name, component, told, shingles in zip(*(batch.column(f).to_pylist() for f in ("key", "i", "j", "block", "content", "component", "told", "shingles"))):
             if at != group:
                 if len(own) > 1:
                     yield links()
-                group, block, own = at, [], {}
+                group, rows, own = at, [], {}
             if name not in own:
                 own[name] = shingles
-                block.append(part)
+                rows.append((part, component, told))
     if len(own) > 1:
         yield links()
 
@@ -542,8 +557,31 @@ def equal_pieces(docs: DataFrame) -> DataFrame:
     return told.where(F.col("what") == PIECE).select(*_pieces.names).unionByName(both.mapInArrow(_assign, PIECES))
 
 
+def _compared(pairs: DataFrame) -> DataFrame:
+    """Links (a, b) between the rows of the pairs of blocks (key, block, other)."""
+    pairs = pairs.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "content", "component", "told", "shingles")
+    return pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "content").mapInArrow(_compare, "a long, b long")
+
+
+def _apart(led: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between contents that collide but are in different ``classes`` (node,
+    component) so far.  Of a key whose contents are in several classes, those outside the
+    largest one are compared with all others, in blocks; two representatives of a key
+    were compared before."""
+    rows = led.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content")).withColumn("told", F.col("what") == LEADER)
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("told").alias("told"))
+    keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.min("told").alias("done")).where("n > most and not done").drop("done")
+    rows = join_one(rows, keys, "key", "content").withColumn("few", F.ceil((F.col("n") - F.col("most")) / BLOCK)).withColumn("many", F.ceil(F.col("most") / BLOCK))
+    # blocks of the largest class follow the others, and are not compared with each other
+    main, dealt = F.col("component") == F.col("main"), F.xxhash64("content", F.lit(3))
+    rows = rows.withColumn("block", F.when(main, F.col("few") + F.pmod(dealt, F.col("many"))).otherwise(F.pmod(dealt, F.col("few"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    return _compared(rows)
+
+
 def near_links(docs: DataFrame, own: DataFrame) -> DataFrame:
-    """Links (a, b) between contents of ``own`` (content, doc_id, start, size, bands)."""
+    """Links (a, b) between contents of ``own`` (content, doc_id, start, size, bands): their
+    components are those of all colliding pairs."""
     bands = own.select(F.explode(F.array(*[f"b{k}" for k in range(BANDS)])).alias("key"), "content")
     often = frequent(bands.where(F.pmod("content", F.lit(SAMPLE)) == 0))
     hot = F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in often], "key long"))  # at most KEYS
@@ -557,11 +595,13 @@ def near_links(docs: DataFrame, own: DataFrame) -> DataFrame:
     led = stored(groups.mapInArrow(_represent, "what byte, key long, content long, leader long, shingles binary"), "representatives")
     leaders = with_totals(led.where(F.col("what") == LEADER).select("key", "content", "shingles", F.lit(1).alias("one")), "key", "content", n=("sum", "one")).where("n > 1")
     leaders = leaders.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("content", F.lit(3)), F.col("blocks")))
-    pairs = leaders.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "content", "shingles")
-    more = pairs.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "content").mapInArrow(_compare, "a long, b long")
+    more = _compared(leaders.withColumn("component", F.col("content")).withColumn("told", F.lit(False)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
     links = led.where(F.col("what") == LINK).select(F.col("leader").alias("a"), F.col("content").alias("b"))
-    found = stored(links.unionByName(more).distinct(), "line-links")
-    discard(candidates, led)
+    first = stored(links.unionByName(more).distinct(), "first-links")
+    classes = stored(components(first, "a", "b"), "first-classes")
+    stars = classes.select(F.col("component").alias("a"), F.col("node").alias("b"))
+    found = stored(stars.unionByName(_apart(led, classes)).distinct(), "line-links")
+    discard(candidates, led, first, classes)
     return found
 
 
