@@ -568,10 +568,17 @@ def _apart(led: DataFrame, classes: DataFrame) -> DataFrame:
     component) so far.  Of a key whose contents are in several classes, those outside the
     largest one are compared with all others, in blocks; two representatives of a key
     were compared before."""
-    rows = led.join(classes.withColumnRenamed("node", "content"), "content", "left").withColumn("component", F.coalesce("component", "content")).withColumn("told", F.col("what") == LEADER)
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("told").alias("told"))
+    classes = classes.withColumnRenamed("node", "content")
+
+    def classed(rows):
+        return rows.join(classes, "content", "left").withColumn("component", F.coalesce("component", "content")).withColumn("told", F.col("what") == LEADER)
+
+    sizes = classed(led.select("what", "key", "content")).groupBy("key", "component").agg(F.count("*").alias("n"), F.min("told").alias("told"))
     keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.min("told").alias("done")).where("n > most and not done").drop("done")
-    rows = join_one(rows, keys, "key", "content").withColumn("few", F.ceil((F.col("n") - F.col("most")) / BLOCK)).withColumn("many", F.ceil(F.col("most") / BLOCK))
+    keys = stored(keys, "keys-apart")
+    # shingles of other keys stay where they are; either way gives the same rows
+    rows = led.join(F.broadcast(keys), "key") if keys.count() <= KEYS else join_one(led, keys, "key", "content")
+    rows = classed(rows).withColumn("few", F.ceil((F.col("n") - F.col("most")) / BLOCK)).withColumn("many", F.ceil(F.col("most") / BLOCK))
     # blocks of the largest class follow the others, and are not compared with each other
     main, dealt = F.col("component") == F.col("main"), F.xxhash64("content", F.lit(3))
     rows = rows.withColumn("block", F.when(main, F.col("few") + F.pmod(dealt, F.col("many"))).otherwise(F.pmod(dealt, F.col("few"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 import numpy as np
 
 from docloom.llm import substring_dedup
@@ -69,3 +70,23 @@ def test_link_group_classes():
     among[told] = np.flatnonzero(told)[substring_dedup.link_group([s for s, t in zip(sets, told) if t])]
     assert (among != whole).any()
     assert substring_dedup.link_group(sets, root=among, told=told).tolist() == whole.tolist()
+
+
+def test_pipeline_links(spark):
+    """The pipeline's stage keeps one document of each class, and no near copy of it."""
+    kept = corpus_pipeline.substring_dedup_stage(spark, documents(spark), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(firsts(LINES)))
+
+
+def test_many_keys(spark, monkeypatch):
+    """Keys that are too many to be broadcast are joined, with the same result."""
+    monkeypatch.setattr(substring_dedup, "KEYS", 0)
+    monkeypatch.setattr(substring_dedup, "frequent", lambda keys: np.empty(0, np.int64))
+    lines = substring_dedup.stored(documents(spark).mapInArrow(substring_dedup._own_lines, substring_dedup.LINES), "lines")
+    found = substring_dedup.components(substring_dedup.near_links(documents(spark), lines), "a", "b")
+    of = {r.content: r.doc_id for r in lines.collect()}
+    classes = {}
+    for r in found.collect():
+        classes.setdefault(r.component, set()).add(of[r.node])
+    want = firsts(LINES)
+    assert sorted(map(sorted, classes.values())) == sorted([d for d, f in enumerate(want) if f == first] for first in set(want))
