@@ -4,16 +4,23 @@ materialised tables, byte streams in the shared folder, batch helpers."""
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 _made: list[tuple[object, str]] = []
+#: What empties the things that a Python worker keeps from task to task.
+drops: list[Callable[[], None]] = []
+_stage: int | None = None  # of this worker's last task
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -113,10 +120,27 @@ def texts(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def begin() -> None:
+    """In the first task of a stage, drops what this Python worker kept for the stage
+    before, and gives freed memory back to the system: Spark uses its workers again for
+    other stages, and allocators hold on to what was freed."""
+    global _stage
+    task = TaskContext.get()
+    if task is None or task.stageId() == _stage:
+        return
+    _stage = task.stageId()
+    for drop in drops:
+        drop()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches, rows: int = 512, size: int = 8 << 20):
     """The record batches cut into pieces of at most ``rows`` rows, and of at most about
     ``size`` bytes of strings or one row, so that what a worker holds as Python objects
     stays small."""
+    begin()
     for batch in batches:
         strings = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
         total = np.zeros(batch.num_rows, np.int64)

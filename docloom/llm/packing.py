@@ -20,6 +20,8 @@ from . import tokens
 from .common import batch_of, slices, stored, texts
 
 CAPACITY = 1024
+#: Bytes of text that are encoded at once.
+PART_BYTES = 2 << 20
 #: Ranking within a length goes by so many buckets at least; more for more pieces.
 BUCKET_ROWS = 200_000
 _pieces = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -36,7 +38,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CA
 
     def cut(batches):
         get = tokens.encoder(path, end_id)
-        for batch in slices(batches, 2048):
+        for batch in slices(batches, 2048, PART_BYTES):
             out = [[], [], [], [], []]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), get(texts(batch.column("text")))):
                 n = len(ids) // 4

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 MEMO = 200_000
 #: Most words of a corpus occur once: a word is remembered when it, or another one with
 #: the same place among so many, has come before.
@@ -136,10 +138,12 @@ class Encoder:
 
 
 _encoders: dict[tuple[str, int], Encoder] = {}
+common.drops.append(_encoders.clear)
 
 
 def encoder(path: str, end_id: int) -> Encoder:
-    """One encoder per worker process."""
+    """One encoder per worker process, as long as its tasks are of one stage."""
+    common.begin()
     if (path, end_id) not in _encoders:
         _encoders[path, end_id] = Encoder(path, end_id)
     return _encoders[path, end_id]

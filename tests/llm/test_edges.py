@@ -8,6 +8,7 @@ import re
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,28 @@ def test_encoder():
     assert own(odd) == want and own(odd) == want
 
 
+def test_a_worker_drops_its_encoder_at_the_next_stage(spark, docs, monkeypatch):
+    def left(batches):
+        for batch in common.slices(batches):
+            yield batch_of_counts(batch.num_rows, len(tokens._encoders))
+
+    def batch_of_counts(rows, n):
+        return pa.RecordBatch.from_arrays([pa.array([n] * rows, pa.int64())], names=["n"])
+
+    packing.token_pieces(docs.repartition(8), tokens.default_path()).count()
+    assert spark.range(64).repartition(8).mapInArrow(left, "n long").agg(F.max("n")).first()[0] == 0
+
+    monkeypatch.setattr(common, "_stage", None)
+    monkeypatch.setattr(common.TaskContext, "get", lambda: SimpleNamespace(stageId=lambda: stage))
+    stage = 1
+    first = tokens.encoder(tokens.default_path(), 2)
+    list(common.slices([]))
+    assert tokens.encoder(tokens.default_path(), 2) is first
+    stage = 2
+    list(common.slices([]))
+    assert not tokens._encoders
+
+
 def test_encoder_cuts_where_the_library_does(monkeypatch):
     """Ids of random texts of letters, marks and white space, also when the memo is full."""
     import random
