@@ -55,6 +55,19 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[F.col(c) for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+#: Rows of texts in a batch between the JVM and Python.  Spark's default takes tens of
+#: megabytes on both sides of each task, and more the more rows a task has.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now has small batches; a session's own setting stays."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH) == "10000":
+        conf.set(BATCH, str(BATCH_ROWS))
+    return df
+
+
 def tagged(df: DataFrame) -> DataFrame:
     """The stored form: ``split`` is ``removed`` or ``remaining`` in place of the flag."""
     return df.withColumn("split", F.when(F.col("removed"), "removed").otherwise("remaining")).drop("removed")

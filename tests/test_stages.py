@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.clients import Retrying, Scripted
 from docloom.functions.langid import NgramDetector, detect, learn_profiles
 from docloom.functions.text import char_ngrams, literal_list, py_strip
-from docloom.operators.base import tagged
+from docloom.operators.base import BATCH, BATCH_ROWS, tagged
 from docloom.operators.filters import DedupQuestions, Language, LanguageOcr, NGramOverlap, TextLength, local_dedup
 from docloom.schema import QA
 
@@ -44,6 +44,30 @@ def test_overlap(made, engine, text, question, value):
     assert r.questions == ([] if r.removed else [question]) and r.answers == ([] if r.removed else ["x"])
 
 
+@pytest.mark.parametrize("engine", ["arrow", "sql"])
+@pytest.mark.parametrize("text", [LONG, "a😀b😀c d\ne" * 9, "abc", "a b c", "", None])
+def test_overlap_of_many_questions(made, engine, text):
+    """Questions that share n-grams with each other, repeat n-grams, are null or too short."""
+    asked = [LONG[:30], LONG[10:40], "zzzzzz", "the the the the", None, "", "abc", "a b c", "😀b😀c d", LONG[:30], "d\nea😀"]
+    grams = lambda x: {x.replace(" ", "")[k : k + 4] for k in range(len(x.replace(" ", "")) - 3)}
+    share = lambda q: 0.0 if not text or len(text) < 4 or not q or len(q) < 4 else len(grams(q) & grams(text)) / len(grams(q)) if grams(q) else None
+    df = made(text, questions=asked, answers=["x"] * len(asked))
+    assert one(NGramOverlap(engine=engine), df).filter_value == [share(q) for q in asked]
+    assert one(NGramOverlap(engine=engine), made(text, questions=None)).filter_value is None
+
+
+def test_batches_of_texts_are_small(spark, made):
+    """However many rows a task has, Python gets few at a time; a session's own setting stays."""
+    before = spark.conf.get(BATCH)
+    try:
+        for own, want in (("10000", str(BATCH_ROWS)), ("500", "500")):
+            spark.conf.set(BATCH, own)
+            NGramOverlap().annotate(made())
+            assert spark.conf.get(BATCH) == want
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def test_overlap_threshold_is_strict(made):
     df = made("abcdefgh", questions=["abcdxyzw"], answers=["x"])
     assert one(NGramOverlap(threshold=0.2), df).removed and not one(NGramOverlap(threshold=0.19), df).removed
