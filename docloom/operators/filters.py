@@ -51,8 +51,7 @@ class NGramOverlap(FilterStage):
 
     def annotate(self, df: DataFrame) -> DataFrame:
         score = overlaps_arrow(self.n)(F.col("text"), F.col("questions")) if self.engine == "arrow" else overlaps(F.col("text"), F.col("questions"), self.n)
-        df = small_batches(df)
-        df = once(df, "filter_value", score) if self.engine == "sql" else df.withColumn("filter_value", score)
+        df = once(small_batches(df), "filter_value", score)
         pairs = F.filter(F.arrays_zip("questions", "filter_value"), lambda x: F.coalesce(x["filter_value"] > self.threshold, F.lit(False)))
         df = _keep(df, F.transform(pairs, lambda x: x["questions"]), self.mode)
         return df.withColumn("removed", no_questions(F.col("questions")))

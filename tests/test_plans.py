@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import cli
+from docloom import cli, queries
 from docloom.functions.clients import Scripted
 from docloom.operators.filters import DedupQuestions, Language, NGramOverlap, TextLength, local_dedup
 from docloom.plans import cascade, generate, report
@@ -60,6 +60,14 @@ def test_summary_runs_every_stage_once(spark, sf_dir):
         assert physical.count("ArrowEvalPython") == 1 and physical.split("Subqueries")[0].count("FileScan") <= 3
 
 
+def test_rows_are_scored_once(spark, sf_dir):
+    """Exploding the scores scores no row twice."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    stage = NGramOverlap()
+    assert plan(stage.values(stage.annotate(qa_docs(spark, sf_dir)))).count("ArrowEvalPython") == 1
+    assert plan(queries.ngram_overlap_per_question(spark, sf_dir)).count("ArrowEvalPython") == 1
+
+
 def test_no_service_for_removed_rows(spark):
     asked = spark.sparkContext.accumulator(0)
 
