@@ -18,29 +18,41 @@ def py_strip(text: Column) -> Column:
     return F.regexp_replace(text, f"(?U)^{_SPACE}+|{_SPACE}+$", "")
 
 
-def char_ngrams(text: Column, n: int) -> Column:
-    """The distinct runs of ``n`` code points once U+0020 is removed; none if too short."""
+def _runs(text: Column, n: int) -> Column:
+    """All runs of ``n`` code points once U+0020 is removed, repeats included."""
     if n < 1:
         raise ValueError("n must be 1 or more")
     rest = f".{{{n - 1}}}" if n > 1 else ""
     look = rf"(?s)(?=([^\x{{DC00}}-\x{{DFFF}}]{rest}))"
-    return F.array_distinct(F.regexp_extract_all(F.replace(text, F.lit(" "), F.lit("")), F.lit(look), F.lit(1)))
+    return F.regexp_extract_all(F.replace(text, F.lit(" "), F.lit("")), F.lit(look), F.lit(1))
+
+
+def char_ngrams(text: Column, n: int) -> Column:
+    """The distinct runs of ``n`` code points once U+0020 is removed; none if too short."""
+    return F.array_distinct(_runs(text, n))
 
 
 def overlaps(text: Column, questions: Column, n: int) -> Column:
     """For each question the share of its n-grams that the text has.
 
     0.0 if text or question has fewer than ``n`` code points, spaces included; null if the
-    question has no n-gram left without spaces.  The text's n-grams are bound once, as the
-    element of a one-element array, so they aren't computed anew per question.
+    question has no n-gram left without spaces.  The text's n-grams are made once, and met
+    once with those of all questions; what a question has of the few found ones is counted.
+    Both are bound as the element of a one-element array, so they aren't computed anew.
     """
+    none = F.array().cast(T.ArrayType(T.StringType()))
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def share(q: Column, own: Column, found: Column) -> Column:
+        had = F.try_divide(F.size(F.array_intersect(found, own)).cast("double"), F.size(own).cast("double"))
+        return F.when(q.isNull() | (F.length(q) < n), F.lit(0.0)).otherwise(had)
 
-    def share(grams: Column, q: Column) -> Column:
-        own = F.transform(F.array(char_ngrams(q, n)), lambda g: F.try_divide(F.size(F.array_intersect(grams, g)).cast("double"), F.size(g).cast("double")))
-        short = (F.length(text) < n) | (F.length(q) < n) | text.isNull() | q.isNull()
-        return F.when(short, F.lit(0.0)).otherwise(F.get(own, F.lit(0)))
+    def shares(own: Column) -> Column:
+        met = F.array_intersect(_runs(text, n), F.flatten(own))
+        return bound(met, lambda found: F.zip_with(questions, own, lambda q, g: share(q, g, found)))
 
-    return F.get(F.transform(F.array(char_ngrams(text, n)), lambda grams: F.transform(questions, lambda q: share(grams, q))), F.lit(0))
+    scores = bound(F.transform(questions, lambda q: F.coalesce(char_ngrams(q, n), none)), shares)
+    return F.when(text.isNull() | (F.length(text) < n), F.transform(questions, lambda q: F.lit(0.0))).otherwise(scores)
 
 
 def overlaps_arrow(n: int):

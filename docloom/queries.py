@@ -9,6 +9,7 @@ from .functions.clients import Scripted
 from .functions.langid import PROFILES, TOP, NgramDetector, profiles, words
 from .functions.qa import realign
 from .functions.text import overlaps
+from .operators.base import once
 from .operators.filters import DedupQuestions, Language, LanguageOcr, NGramOverlap, TextLength, local_dedup
 from .plans import cascade, generate, report
 from .schema import COUNTED, qa_docs
@@ -21,7 +22,9 @@ def _local_client() -> Scripted:
 
 
 def _by_place(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.select("doc_id", F.posexplode(column).alias("pos", name))
+    """A row per element.  The array is made once: Spark filters empty arrays before it
+    explodes a column, and would compute the column's expression for that as well."""
+    return once(df.select("doc_id", column), column, F.col(column)).select("doc_id", F.posexplode(column).alias("pos", name))
 
 
 def qa_docs_shape(spark, sf_dir):

@@ -61,11 +61,12 @@ def test_summary_runs_every_stage_once(spark, sf_dir):
 
 
 def test_rows_are_scored_once(spark, sf_dir):
-    """Exploding the scores scores no row twice."""
+    """Exploding the scores scores no row twice, with Python or without."""
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     stage = NGramOverlap()
     assert plan(stage.values(stage.annotate(qa_docs(spark, sf_dir)))).count("ArrowEvalPython") == 1
     assert plan(queries.ngram_overlap_per_question(spark, sf_dir)).count("ArrowEvalPython") == 1
+    assert plan(queries.ngram_overlap_expression(spark, sf_dir)).count("regexp_extract_all") == 2
 
 
 def test_no_service_for_removed_rows(spark):
